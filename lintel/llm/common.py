@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.session import shared_dir, ship
+
+__all__ = ["shared_dir", "ship"]
+
 #: Columns that an operator adds to a caller's rows for a while start so; no caller's column should.
 PRIVATE = "__lt_"
 #: A side of a join is broadcast up to so many bytes, as measured, and shuffled beyond.
@@ -22,22 +25,9 @@ SLICE_BYTES = 4 << 20
 EDGES = ".,;:!?\"'()[]{}<>*#%&@$^~`|\\/+=-_«»„“”‘’…–—¿¡·"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lintel-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared folder, its lineage cut; survives the loss of executors."""
-    shared_dir(df.sparkSession)
+    ship(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -109,7 +99,7 @@ def one_row_each(docs: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     Only repeated keys are shuffled with their rows.
     """
-    spark, n = docs.sparkSession, f"{PRIVATE}n"
+    n = f"{PRIVATE}n"
     again = docs.groupBy(F.col(key).alias(f"{PRIVATE}key")).agg(F.count(F.lit(1)).alias(n)).where(f"{n} > 1 and {PRIVATE}key is not null").select(f"{PRIVATE}key")
     again = checkpointed(again)
     if not again.take(1):
@@ -120,5 +110,4 @@ def one_row_each(docs: DataFrame, key: str, order: list[str]) -> DataFrame:
     side = sized(again)
     first = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     repeated = docs.join(side, hit, "left_semi").withColumn(n, F.row_number().over(first)).where(f"{n} = 1").drop(n)
-    assert spark is not None
     return docs.join(side, hit, "left_anti").unionByName(repeated)

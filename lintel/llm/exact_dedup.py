@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import shared_dir
+from lintel.llm.common import shared_dir, ship
 
 #: A table holds contents of up to so many bytes; a larger bucket is partitioned further.
 TABLE_BYTES = 24 << 20
@@ -211,6 +211,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     next bits, to files in the shared folder, and so on. Contents are compared whole.
     """
     spark = docs.sparkSession
+    ship(spark)
     root = f"{shared_dir(spark)}/grace"
     rows = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("h"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     schema = _RECORD

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import checkpointed
+from lintel.llm.common import checkpointed, ship
 
 #: Bytes of a training sequence.
 CAPACITY = 8192
@@ -113,6 +113,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = CAP
     opens them, "doc_id:occurrence:piece". Ties go by doc_id, occurrence and piece.
     """
     spark = docs.sparkSession
+    ship(spark)
     every = checkpointed(pieces(docs, doc_id, size, capacity))
     none = F.lit(None)
     at_once = every.select("size", F.when(F.col("size") == 0, none.cast("string")).otherwise(_name()).alias("bin"), "doc_id", "occurrence", "piece").where(f"size = 0 or 2 * size > {capacity}")

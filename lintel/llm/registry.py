@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintel.llm import exact_dedup, line_dedup, packing, simhash, url_filter, warc
+from lintel.llm import exact_dedup, line_dedup, packing, simhash, topk, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op3_topk": topk.op3_topk,
     "op4_warc_revisits": warc.op4_warc_revisits,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
@@ -18,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": topk.OP3_SQL,
     "op4_warc_revisits": warc.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,

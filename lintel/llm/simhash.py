@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import PRIVATE, checkpointed, hash64, one_row_each, sized, slices, words_of
+from lintel.llm.common import PRIVATE, checkpointed, hash64, one_row_each, ship, sized, slices, words_of
 from lintel.llm.components import components, local_stars
 
 #: Texts are near copies if their 128-bit fingerprints differ in at most so many bits.
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             ok = pa.array(n > 0)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), pa.array(high.view(np.int64)).filter(ok), pa.array(low.view(np.int64)).filter(ok)], names=["id", "high", "low"])
 
+    ship(docs.sparkSession)
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text).mapInArrow(run, "id long, high long, low long")
 
 
