@@ -45,10 +45,13 @@ def _sweep(batches):
     A document takes the smallest gap that holds it; what remains of the gap is a gap again, for
     this range's smaller documents too. Out: what was placed, what waits, what gaps are left and
     how the waiting documents and left gaps rank within the range (documents downwards, gaps upwards).
+    A rest that is smaller than the range's last row might not hold a later range's document: it
+    has no rank and waits for the next superstep.
     """
     task = TaskContext.get().partitionId()
     gaps: list[tuple[int, str]] = []
     waiting, placed = [], []
+    n = 0
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             n, gap, name = row[0], row[1], row[2]
@@ -65,7 +68,9 @@ def _sweep(batches):
                 insort(gaps, (room - n, name))
     out = placed
     out += [(*row, "doc", k) for k, row in enumerate(waiting)]
-    out += [(n, True, name, None, None, None, "gap", k) for k, (n, name) in enumerate(gaps)]
+    small = bisect_left(gaps, (n, ""))
+    out += [(room, True, name, None, None, None, "rest", 0) for room, name in gaps[:small]]
+    out += [(room, True, name, None, None, None, "gap", k) for k, (room, name) in enumerate(gaps[small:])]
     for at in range(0, len(out), 20_000):
         columns = list(zip(*out[at : at + 20_000], strict=True))
         types = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64())
@@ -104,7 +109,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = CAP
 
     1. If waiting documents exceed the gaps' room, or the last superstep placed nothing, the largest
        open bins for the excess: each opens one, and its rest is a gap. Documents over half of the
-       capacity all do so at the start, as no two share a bin.
+       capacity all do so at the start, as no two share a bin; their gaps are swept before any other
+       document opens one.
     2. Documents and gaps are range-sorted by size, and each range swept (`_sweep`).
     3. Documents whose successor gap lies in a larger range get one there by rank (`_assign`, which
        sees two counts a range); gaps are updated.
@@ -121,7 +127,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = CAP
     docs_left = every.where(f"size > 0 and 2 * size <= {capacity}").select("size", F.lit(False).alias("gap"), none.cast("string").alias("bin"), "doc_id", "occurrence", "piece")
     gaps_left = at_once.where(f"size > 0 and size < {capacity}").select((F.lit(capacity) - F.col("size")).alias("size"), F.lit(True).alias("gap"), "bin", none.cast("long").alias("doc_id"), none.cast("int").alias("occurrence"), none.cast("int").alias("piece"))
     items = checkpointed(docs_left.unionByName(gaps_left))
-    stuck = False
+    stuck, swept = False, None
     while True:
         s = items.groupBy().agg(
             F.count(F.when(~F.col("gap"), 1)).alias("docs"), F.coalesce(F.sum(F.when(~F.col("gap"), F.col("size"))), F.lit(0)).alias("need"),
@@ -130,7 +136,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = CAP
         if not s["docs"]:
             break
         ranges = int(s["rows"] // _RANGE_ROWS) + 1
-        opening = max(-(-(s["need"] - s["room"]) // capacity), -(-s["need"] // capacity) if stuck else 0)
+        opening = max(-(-(s["need"] - s["room"]) // capacity), -(-s["need"] // capacity) if stuck else 0) if swept is not None or not s["room"] else 0
         order = (F.col("size").desc(), F.col("gap").desc(), F.col("doc_id").asc_nulls_first(), "occurrence", "piece", "bin")
         if opening > 0:
             ranked = items.where("not gap").repartitionByRange(ranges, *order[:1], *order[2:5]).sortWithinPartitions(*order[:1], *order[2:5])
@@ -155,6 +161,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = CAP
         done.append(swept.where("what = 'placed'").select("doc_id", "occurrence", "piece", "size", "bin"))
         done.append(g.where("used is not null").select("taker.doc_id", "taker.occurrence", "taker.piece", F.col("used").alias("size"), "bin"))
         rest = g.select((F.col("size") - F.coalesce("used", F.lit(0))).alias("size"), "gap", "bin", none.cast("long").alias("doc_id"), none.cast("int").alias("occurrence"), none.cast("int").alias("piece")).where("size > 0")
+        rest = rest.unionByName(swept.where("what = 'rest'").select(*_NAMES))
         items = checkpointed(d.where("g_task is null").select(*_NAMES).unionByName(rest))
         stuck = not items.where("not gap").count() < s["docs"] - max(0, opening)
     placed = done[0]

@@ -345,7 +345,7 @@ class Transducer:
         parts = pa.array(data, pa.binary()).take(pa.array(ids))
         whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), parts), b"")
         if self.prefix:
-            whole = pc.if_else(pc.equal(pc.binary_slice(whole, 0, 1), b" "), pc.binary_slice(whole, 1), whole)
+            whole = pc.replace_substring_regex(whole, r"\A ", "", max_replacements=1)
         try:
             return whole.cast(pa.string())
         except pa.ArrowInvalid:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import checkpointed, sized
+from lintel.llm.common import PRIVATE, checkpointed, sized
 
 DAMPING = 0.85
 ROUNDS = 12
@@ -90,16 +90,17 @@ def filter_urls(pages: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED
     """pages with trust, distrust, badness and allowed of their hosts in the columns host_trust, host_distrust, host_badness, url_allowed.
 
     Seeds are the hosts that match the patterns. A page without a host gets nulls and is not
-    allowed. Repeated pages each stay.
+    allowed. Repeated pages each stay. Columns of `pages` with these names are replaced.
     """
     edges = checkpointed(host_edges(pages, url, html))
     hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
     scores = checkpointed(propagate(edges, hosts.where(F.col("host").rlike(trusted)), hosts.where(F.col("host").rlike(blocked)), damping, rounds, threshold))
-    own = ("__lt_host", "host_trust", "host_distrust", "host_badness", "url_allowed")
+    out = ("host_trust", "host_distrust", "host_badness", "url_allowed")
+    own = [f"{PRIVATE}{c}" for c in ("host", *out)]
     side = sized(scores.toDF(*own), own[0])
     joined = pages.join(side, host_of(pages[url]) == F.col(own[0]), "left")
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in own]
-    return joined.select(*kept, "host_trust", "host_distrust", "host_badness", F.coalesce("url_allowed", F.lit(False)).alias("url_allowed"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in out]
+    return joined.select(*kept, *[F.col(f"{PRIVATE}{c}").alias(c) for c in out[:3]], F.coalesce(f"{PRIVATE}url_allowed", F.lit(False)).alias("url_allowed"))
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
