@@ -12,7 +12,7 @@ from lintel.llm.common import slices
 
 #: Chunks whose ids a Python worker keeps.
 KEPT = 300_000
-_SLICE = 16 << 20
+_SLICE = 4 << 20
 
 
 class ChunkEncoder:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -20,7 +21,7 @@ PRIVATE = "__lt_"
 #: A side of a join is broadcast up to so many bytes, as measured, and shuffled beyond.
 BROADCAST_BYTES = 16 << 20
 #: Texts are handled in Python in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Cut off both ends of a word before it is hashed.
 EDGES = ".,;:!?\"'()[]{}<>*#%&@$^~`|\\/+=-_«»„“”‘’…–—¿¡·"
 
@@ -67,6 +68,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
         at = to
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(offsets, codes, vocabulary): the words of text i are vocabulary[codes[offsets[i]:offsets[i + 1]]].
 

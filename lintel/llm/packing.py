@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -47,35 +48,44 @@ def _sweep(batches):
     how the waiting documents and left gaps rank within the range (documents downwards, gaps upwards).
     A rest that is smaller than the range's last row might not hold a later range's document: it
     has no rank and waits for the next superstep.
+
+    The rows stay in their columns; a gap is one number, its size and then its row.
     """
     task = TaskContext.get().partitionId()
-    gaps: list[tuple[int, str]] = []
-    waiting, placed = [], []
+    own = [b for b in batches if b.num_rows]
+    if not own:
+        return
+    rows = pa.Table.from_batches(own).combine_chunks()
+    gaps = array("q")
+    waiting, placed, places = array("i"), array("i"), array("i")
     n = 0
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            n, gap, name = row[0], row[1], row[2]
-            if gap:
-                insort(gaps, (n, name))
-                continue
-            at = bisect_left(gaps, (n, ""))
-            if at == len(gaps):
-                waiting.append(row)
-                continue
-            room, name = gaps.pop(at)
-            placed.append((n, False, name, *row[3:], "placed", 0))
-            if room > n:
-                insort(gaps, (room - n, name))
-    out = placed
-    out += [(*row, "doc", k) for k, row in enumerate(waiting)]
-    small = bisect_left(gaps, (n, ""))
-    out += [(room, True, name, None, None, None, "rest", 0) for room, name in gaps[:small]]
-    out += [(room, True, name, None, None, None, "gap", k) for k, (room, name) in enumerate(gaps[small:])]
-    for at in range(0, len(out), 20_000):
-        columns = list(zip(*out[at : at + 20_000], strict=True))
-        types = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64())
-        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(columns[0]), task, np.int32))], names=[*_NAMES, "what", "rank", "task"])
+    for k, (n, gap) in enumerate(zip(rows.column(0).to_numpy(), rows.column(1).to_numpy(), strict=True)):
+        n = int(n)
+        if gap:
+            insort(gaps, n << 32 | k)
+            continue
+        at = bisect_left(gaps, n << 32)
+        if at == len(gaps):
+            waiting.append(k)
+            continue
+        room, where = divmod(gaps.pop(at), 1 << 32)
+        placed.append(k)
+        places.append(where)
+        if room > n:
+            insort(gaps, (room - n) << 32 | where)
+
+    def batch(what: str, part: pa.Table, rank: np.ndarray, **changed):
+        for b in part.to_batches():
+            columns = [changed.get(c, b.column(c)) for c in _NAMES]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([what] * b.num_rows, pa.string()), pa.array(rank), pa.array(np.full(b.num_rows, task, np.int32))], names=[*_NAMES, "what", "rank", "task"])
+
+    left, small = np.frombuffer(gaps, np.int64), bisect_left(gaps, n << 32)
+    took, wait = np.frombuffer(placed, np.int32), np.frombuffer(waiting, np.int32)
+    zeros = np.zeros(max(len(took), small), np.int64)
+    yield from batch("placed", rows.take(pa.array(took)).combine_chunks(), zeros[: len(took)], bin=rows.column("bin").take(pa.array(np.frombuffer(places, np.int32))).combine_chunks())
+    yield from batch("doc", rows.take(pa.array(wait)).combine_chunks(), np.arange(len(wait)))
+    for what, part, rank in (("rest", left[:small], zeros[:small]), ("gap", left[small:], np.arange(len(left) - small))):
+        yield from batch(what, rows.take(pa.array(part & 0xFFFFFFFF)).combine_chunks(), rank, size=pa.array(part >> 32))
 
 
 def _assign(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import PRIVATE, checkpointed, hash64, one_row_each, ship, sized, slices, words_of
+from lintel.llm.common import PRIVATE, checkpointed, hash64, one_row_each, ship, sized, slices, tidy, words_of
 from lintel.llm.components import components, local_stars
 
 #: Texts are near copies if their 128-bit fingerprints differ in at most so many bits.
@@ -46,6 +46,7 @@ def simhash(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         high.append(packed[:, 0])
         low.append(packed[:, 1])
         number.append(n)
+    tidy()
     return np.concatenate(high), np.concatenate(low), np.concatenate(number)
 
 

@@ -175,7 +175,7 @@ class Transducer:
         key = (u + 1) * len(self.pieces) + v
         if (known := self._pairs.get(key)) is None:
             a, b = self.pieces[u] if u >= 0 else "", self.pieces[v]
-            if len(self._pairs) > 4_000_000:
+            if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
             self._pairs[key] = known = self.merged(a + b) == ([a, b] if a else [b])
         return known
