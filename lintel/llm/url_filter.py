@@ -63,8 +63,8 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     return rank
 
 
-def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, trust, distrust, badness, allowed) for every host of the edges and seeds.
+def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD, isolated: DataFrame | None = None) -> DataFrame:
+    """(host, trust, distrust, badness, allowed) for every host of the edges, the seeds and `isolated`, whose hosts need no edges.
 
     trust: personalised PageRank from the trusted hosts along the edges, without the edges of a
     host to itself; distrust: from the blocked hosts along the reversed edges, so that hosts that
@@ -78,7 +78,10 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping:
     other = links.where("src <> dst")
     trust = personalised_pagerank(other, trusted, damping, rounds).select("host", F.col("rank").alias("trust"))
     distrust = personalised_pagerank(other.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), blocked, damping, rounds).select("host", F.col("rank").alias("distrust"))
-    hosts = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).unionByName(trusted).unionByName(blocked).distinct()
+    hosts = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).unionByName(trusted).unionByName(blocked)
+    if isolated is not None:
+        hosts = hosts.unionByName(isolated.select("host").where("host is not null"))
+    hosts = hosts.distinct()
     zero = F.lit(0.0)
     t, d = F.coalesce("trust", zero), F.coalesce("distrust", zero)
     rows = hosts.join(trust, "host", "left").join(distrust, "host", "left").join(blocked.withColumn("listed", F.lit(True)), "host", "left")
@@ -89,12 +92,14 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping:
 def filter_urls(pages: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """pages with trust, distrust, badness and allowed of their hosts in the columns host_trust, host_distrust, host_badness, url_allowed.
 
-    Seeds are the hosts that match the patterns. A page without a host gets nulls and is not
-    allowed. Repeated pages each stay. Columns of `pages` with these names are replaced.
+    Seeds are the hosts of pages and links that match the patterns. A host that neither links nor
+    is linked to is judged like any other. A page without a host gets nulls and is not allowed.
+    Repeated pages each stay. Columns of `pages` with these names are replaced.
     """
     edges = checkpointed(host_edges(pages, url, html))
-    hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
-    scores = checkpointed(propagate(edges, hosts.where(F.col("host").rlike(trusted)), hosts.where(F.col("host").rlike(blocked)), damping, rounds, threshold))
+    own = pages.select(host_of(F.col(url)).alias("host")).where("host is not null")
+    hosts = checkpointed(edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(own).distinct())
+    scores = checkpointed(propagate(edges, hosts.where(F.col("host").rlike(trusted)), hosts.where(F.col("host").rlike(blocked)), damping, rounds, threshold, hosts))
     out = ("host_trust", "host_distrust", "host_badness", "url_allowed")
     own = [f"{PRIVATE}{c}" for c in ("host", *out)]
     side = sized(scores.toDF(*own), own[0])

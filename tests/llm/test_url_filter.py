@@ -60,3 +60,18 @@ def test_pages(spark):
     assert url_filter.filter_urls(df).count() == 6
     assert got == {1: got[1], 2: False, 3: False, 4: False, 5: got[5]}
     assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+def test_hosts_without_links(spark):
+    pages = [
+        (1, "http://plain.example.com/", "only text"),
+        (2, "http://none.example.com/", None),
+        (3, "http://alone.example.org/", ""),
+        (4, "http://casino.example.com/", "only text"),
+        (5, "http://linked.example.com/", "<a href=http://good.example.org/>"),
+        (6, None, "only text"),
+    ]
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert {k: r["url_allowed"] for k, r in got.items()} == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False}
+    assert [(got[k]["host_trust"], got[k]["host_distrust"], got[k]["host_badness"]) for k in (1, 2)] == [(0, 0, 0)] * 2
+    assert got[3]["host_trust"] == 0.5 and got[4]["host_badness"] == 1 and got[6]["host_badness"] is None
