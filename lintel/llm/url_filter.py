@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import PRIVATE, checkpointed, sized
+from lintel.llm.common import BROADCAST_BYTES, PRIVATE, bytes_of, checkpointed, sized
 
 DAMPING = 0.85
-ROUNDS = 12
+#: Ranks, whose sum is 1, are settled when a round changes them by less than this in all.
+TOLERANCE = 1e-6
+#: Rounds after which the change is below TOLERANCE in any graph; it is 2 at most at first. No limit: longer paths take more.
+ROUNDS = math.ceil(math.log(TOLERANCE / 2) / math.log(DAMPING))
 #: A host is dropped if its distrust is at least this much of trust and distrust together.
 THRESHOLD = 0.5
 TRUSTED = r"^blog\.|\.example\.org$"
@@ -36,13 +42,16 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return rows.select("src", F.explode(F.array_distinct(targets)).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank) after `rounds` power iterations: the walk follows weighted edges, and starts again evenly from the seeds.
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank) by power iteration: the walk follows weighted edges, and starts again evenly from the seeds.
 
     edges: (src, dst, weight), weights over 0. seeds: (host). The walk also starts again where a
     host has no edges out. Without seeds all ranks are 0. Hosts with rank 0 are not in the result.
+    Rounds go on until one changes the ranks by less than `tolerance` in all and reaches no new
+    host; `rounds`, if given, is their number instead. damping is under 1: the change falls by it
+    a round, and in all the result is within tolerance * damping / (1 - damping) of the limit.
     The ranks table, which has a row a host, and the edges are shuffled by host in each round,
-    unless the ranks are measured to be small; lineage is cut every 4 rounds.
+    unless the ranks are measured to be small; lineage is cut every round.
     """
     seeds = checkpointed(seeds.select("host").where("host is not null").distinct())
     n = seeds.count()
@@ -50,20 +59,28 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
         return seeds.select("host", F.lit(0.0).alias("rank")).where("false")
     edges = edges.where("src is not null and dst is not null and weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     out = edges.groupBy(F.col("src").alias("o_src")).agg(F.sum("weight").alias("total"))
-    steps = checkpointed(edges.join(out, F.col("src") == F.col("o_src")).select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    base = seeds.select("host", F.lit(1.0 / n).alias("start"))
-    rank = base.select("host", F.col("start").alias("rank"))
-    for k in range(1, rounds + 1):
-        moved = steps.join(rank, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("share") * F.col("rank")) * damping).alias("rank"))
+    steps = checkpointed(edges.join(out, F.col("src") == F.col("o_src")).select("src", "dst", (F.col("weight") / F.col("total") * damping).alias("share")))
+    rank = seeds.select("host", F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("start"), F.lit(0.0).alias("before"))
+    size, reached = bytes_of(rank, "host"), 0
+    # Columns are made once, as making them takes longer than a round over few hosts.
+    meets, held = F.expr("src = host"), ("host", "0D AS moved", "start", "rank AS before", "abs(rank - before) AS change")
+    sums = [F.expr(f"sum({c}) AS {c}") for c in ("moved", "start", "before", "change")]
+    totals = [F.expr(x) for x in ("sum(moved) AS moved", "sum(change) AS change", "count_if(moved + start > 0) AS hosts", "sum(octet_length(host) + 48) AS size")]
+    for _ in count() if rounds is None else range(rounds):
+        side = F.broadcast(rank) if size <= BROADCAST_BYTES else rank.hint("merge")
+        moved = steps.join(side, meets).selectExpr("dst AS host", "share * rank AS moved", "0D AS start", "0D AS before", "0D AS change")
+        own = checkpointed(moved.union(rank.selectExpr(*held)).groupBy("host").agg(*sums))
+        # The change is that of the round before, as this round's restarts are not known yet.
+        s = own.agg(*totals).first()
         # What does not move on (restarts, hosts without edges out) goes back to the seeds.
-        back = base.crossJoin(F.broadcast(moved.agg((1.0 - F.coalesce(F.sum("rank"), F.lit(0.0))).alias("back")))).select("host", (F.col("start") * F.col("back")).alias("rank"))
-        rank = moved.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 0 or k == rounds:
-            rank = checkpointed(rank)
-    return rank
+        rank = own.selectExpr("host", f"moved + start * {1.0 - s['moved']!r}D AS rank", "start", "before").where("rank > 0")
+        if rounds is None and s["change"] < tolerance and s["hosts"] <= reached:
+            break
+        size, reached = s["size"], s["hosts"]
+    return rank.select("host", "rank")
 
 
-def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD, isolated: DataFrame | None = None) -> DataFrame:
+def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD, isolated: DataFrame | None = None) -> DataFrame:
     """(host, trust, distrust, badness, allowed) for every host of the edges, the seeds and `isolated`, whose hosts need no edges.
 
     trust: personalised PageRank from the trusted hosts along the edges, without the edges of a
@@ -89,7 +106,7 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping:
     return rows.select("host", t.alias("trust"), d.alias("distrust"), bad.alias("badness"), ((bad < threshold) & F.col("listed").isNull()).alias("allowed"))
 
 
-def filter_urls(pages: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, url: str = "url", html: str = "html", damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """pages with trust, distrust, badness and allowed of their hosts in the columns host_trust, host_distrust, host_badness, url_allowed.
 
     Seeds are the hosts of pages and links that match the patterns. A host that neither links nor

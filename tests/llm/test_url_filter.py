@@ -75,3 +75,19 @@ def test_hosts_without_links(spark):
     assert {k: r["url_allowed"] for k, r in got.items()} == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False}
     assert [(got[k]["host_trust"], got[k]["host_distrust"], got[k]["host_badness"]) for k in (1, 2)] == [(0, 0, 0)] * 2
     assert got[3]["host_trust"] == 0.5 and got[4]["host_badness"] == 1 and got[6]["host_badness"] is None
+
+
+def test_chain_longer_than_twelve(spark):
+    chain = [f"h{k}" for k in range(17)]
+    edges = spark.createDataFrame([(b, a, 1.0) for a, b in zip(chain, chain[1:], strict=False)] + [("good", "h16", 1.0)], "src string, dst string, weight double")
+    host = lambda *h: spark.createDataFrame([(x,) for x in h], "host string")
+    got = {r["host"]: r for r in url_filter.propagate(edges, host("x").limit(0), host("h0")).collect()}
+    total = sum(url_filter.DAMPING**k for k in range(18))
+    assert all(abs(got[h]["distrust"] - url_filter.DAMPING**k / total) < 6 * url_filter.TOLERANCE for k, h in enumerate([*chain, "good"]))
+    assert not any(r["allowed"] for r in got.values())
+
+
+def test_hosts_beyond_the_tolerance_are_reached(spark):
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1.0) for k in range(7)], "src string, dst string, weight double")
+    got = dict(rows(url_filter.personalised_pagerank(edges, spark.createDataFrame([("h0",)], "host string"), tolerance=10.0)))
+    assert set(got) == {f"h{k}" for k in range(8)}
