@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import PRIVATE
+from lintel.llm.common import PRIVATE, checkpointed
 
 P = PRIVATE
 #: Headers that a 304 answer may carry and that replace the stored response's (RFC 9111, 3.2 and 4.3.4).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Captures of one URL are ordered within slots of so many seconds, and slots among each other, so that no URL is one task's work.
-SLOT_SECONDS = 30 * 86400
 
 
 def canonical_url(url):
@@ -23,16 +21,23 @@ def canonical_url(url):
     return F.concat(host, F.regexp_replace(F.regexp_replace(rest, r"[?&]+$", ""), r"/+$", ""))
 
 
-def resolve_revisits(records: DataFrame, slot_seconds: int = SLOT_SECONDS, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
+def lower_names(headers):
+    """Headers by lower-case name, as names differ by case in the wild only; of names that are then equal the last in byte order counts, as a map has no order. Null: none."""
+    pairs = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value"), e.key.alias("name")))
+    kept = F.filter(pairs, lambda e: ~F.exists(pairs, lambda x: (x["key"] == e["key"]) & (x["name"] > e["name"])))
+    return F.coalesce(F.map_from_entries(F.transform(kept, lambda e: F.struct(e.key.alias("key"), e.value.alias("value")))), F.create_map().cast("map<string,string>"))
+
+
+def resolve_revisits(records: DataFrame, ranges: int | None = None, permitted: tuple[str, ...] = PERMITTED) -> DataFrame:
     """Each revisit of `records` with what it resolves to.
 
     records: record_id BIGINT, ts TIMESTAMP, url STRING, kind STRING ('response' or 'revisit'),
-    status INT, headers MAP<STRING, STRING> (lower-case names), digest STRING; other columns are
+    status INT, headers MAP<STRING, STRING> (names of any case), digest STRING; other columns are
     ignored. A full response is one of kind 'response' and status 200.
 
     Result, a row for each record of kind 'revisit': record_id, url_key, refers_to (the full
-    response's record_id), digest (its payload), headers (of the full response, the permitted ones
-    replaced by the revisit's), outcome:
+    response's record_id), digest (its payload), headers (by lower-case name; of the full response,
+    the permitted ones replaced by the revisit's), outcome:
 
     - 'resolved': the validators that both carry agree, and there is one;
     - 'unvalidated': there is an earlier response, but no validator that both carry;
@@ -41,26 +46,36 @@ def resolve_revisits(records: DataFrame, slot_seconds: int = SLOT_SECONDS, permi
 
     "Earlier" is by (ts, record_id); a response at the revisit's very ts is earlier if its
     record_id is smaller. Of repeated rows (the same record_id) each gives a row. Null headers
-    count as none.
+    count as none, and a validator that is null as none. An empty url is one like any other; an
+    empty table gives an empty one.
+
+    Captures are range-sorted by URL, time and record, so that a URL with most of all rows is many
+    tasks' work. Each range is searched alone; what a URL's last response is where a range ends is
+    carried to the next ranges by a table of one row a range.
     """
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    none = F.create_map().cast("map<string,string>")
     r = records.where(F.col("kind").isin("response", "revisit") & (full | (F.col("kind") == "revisit"))).select(
-        "record_id", "ts", canonical_url(F.col("url")).alias("url_key"), "kind", F.coalesce("headers", none).alias("headers"), "digest",
-        F.floor(F.unix_seconds("ts") / slot_seconds).alias("slot"),
-    )
+        "record_id", "ts", canonical_url(F.col("url")).alias("url_key"), "kind", lower_names(F.col("headers")).alias("headers"), "digest"
+    )
     dated = r.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
-    response = F.when(F.col("kind") == "response", F.struct("record_id", "digest", "headers"))
     order = [F.col("ts"), F.col("record_id").asc_nulls_first()]
-    inside = dated.withColumn("got", F.last(response, ignorenulls=True).over(Window.partitionBy("url_key", "slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
-    inside = inside.where(F.col("kind") == "revisit")
-    # The last response of each slot, carried on to the next slots of its URL that have revisits.
-    last = dated.where(F.col("kind") == "response").groupBy("url_key", "slot").agg(F.max_by(F.struct("record_id", "digest", "headers"), F.struct("ts", "record_id")).alias("last"))
-    asked = inside.where("got is null").select("url_key", "slot").distinct().withColumn("last", F.lit(None).cast(last.schema["last"].dataType))
-    by = Window.partitionBy("url_key").orderBy("slot", F.col("asked").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.withColumn("asked", F.lit(0)).unionByName(asked.withColumn("asked", F.lit(1))).withColumn("before", F.last("last", ignorenulls=True).over(by))
-    carried = carried.where("asked = 1 and before is not null").select(F.col("url_key").alias(f"{P}u"), F.col("slot").alias(f"{P}s"), "before")
-    found = inside.join(carried, (F.col("url_key") == F.col(f"{P}u")) & (F.col("slot") == F.col(f"{P}s")) & F.col("got").isNull(), "left")
+    sorted_ = dated.repartitionByRange(ranges or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url_key", *order)
+    # A row of a range is known by where it is; the ranges stay as they are once they are written.
+    sorted_ = checkpointed(sorted_.withColumn("part", F.spark_partition_id()))
+    answer = F.struct("record_id", "digest", "headers")
+    before = Window.partitionBy("part", "url_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = sorted_.withColumn("got", F.last(F.when(F.col("kind") == "response", answer), ignorenulls=True).over(before)).where("kind = 'revisit'")
+    # Of each range its last URL's last response, if it has one, and its first URL: what came before it, ranges back, ends there.
+    ends = sorted_.groupBy("part").agg(F.max("url_key").alias("u"), F.min("url_key").alias("first"))
+    at_end = F.broadcast(ends)  # a row a range
+    last = sorted_.where("kind = 'response'").join(at_end.select(F.col("part").alias("e"), "u"), (F.col("part") == F.col("e")) & (F.col("url_key") == F.col("u"))).groupBy("part").agg(F.max_by(answer, F.struct("ts", "record_id")).alias("last"))
+    ends = checkpointed(ends.join(last, "part", "left"))
+    asked = ends.select("part", F.col("first").alias("u"), F.lit(None).cast(last.schema["last"].dataType).alias("last"), F.lit(0).alias("asks"))
+    # In order of range, a range's question comes before its own answer.
+    chain = Window.partitionBy("u").orderBy("part", "asks").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("part", "u", "last", F.lit(1).alias("asks")).unionByName(asked).withColumn("before", F.last("last", ignorenulls=True).over(chain))
+    carried = carried.where("asks = 0 and before is not null").select(F.col("part").alias(f"{P}p"), F.col("u").alias(f"{P}u"), "before")
+    found = inside.join(carried, (F.col("part") == F.col(f"{P}p")) & (F.col("url_key") == F.col(f"{P}u")) & F.col("got").isNull(), "left")
     found = found.select("record_id", "url_key", "headers", F.coalesce("got", "before").alias("to"))
     undated = r.where((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("ts").isNull())).select("record_id", "url_key", "headers", F.lit(None).cast(last.schema["last"].dataType).alias("to"))
 
@@ -93,13 +108,13 @@ def captures(pages: DataFrame) -> DataFrame:
 
     Page n is answered in full at second 600 n and not modified a day and a half later. Of every 5
     pages one is asked for with an outdated etag; of every 7 one answers without validators; of
-    every 11 one is not modified an hour before it was first seen.
+    every 11 one is not modified an hour before it was first seen. Header names differ in case.
     """
     n = F.col("page_id")
     etag, moment = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"')), F.col("page_id") * 600
-    stored = F.create_map(F.lit("etag"), etag, F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("cache-control"), F.lit("max-age=60"))
+    stored = F.create_map(F.lit("ETag"), etag, F.lit("Content-Type"), F.lit("text/html"), F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"))
     again = F.when(n % 7 == 0, F.create_map(F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0"))).otherwise(
-        F.create_map(F.lit("etag"), F.when(n % 5 == 0, F.lit('"old"')).otherwise(F.concat(F.lit("W/"), etag)), F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0"))
+        F.create_map(F.lit("Etag"), F.when(n % 5 == 0, F.lit('"old"')).otherwise(F.concat(F.lit("W/"), etag)), F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0"))
     )
     later = moment + F.when(n % 11 == 0, -3600).otherwise(129600)
     first = F.struct((n * 2).alias("record_id"), F.timestamp_seconds(moment).alias("ts"), F.lit("response").alias("kind"), F.lit(200).alias("status"), stored.alias("headers"), F.md5("html").alias("digest"))

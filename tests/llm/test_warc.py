@@ -21,9 +21,10 @@ def brute(records, key):
             for r in records:
                 if r[3] == "response" and r[4] == 200 and r[2] is not None and r[1] is not None and key(r[2]) == key(url) and (r[1], r[0]) < (t, rid) and (best is None or (r[1], r[0]) > (best[1], best[0])):
                     best = r
-        mine, theirs = headers or {}, (best[5] if best else None) or {}
+        low = lambda h: {k.lower(): v for k, v in sorted((h or {}).items())}
+        mine, theirs = low(headers), low(best[5] if best else None)
         strip = lambda v: v.strip().removeprefix("W/")
-        same = [strip(mine[h]) == strip(theirs[h]) for h in ("etag", "last-modified") if h in mine and h in theirs]
+        same = [strip(mine[h]) == strip(theirs[h]) for h in ("etag", "last-modified") if mine.get(h) is not None and theirs.get(h) is not None]
         outcome = "orphan" if best is None else "mismatch" if not all(same) else "resolved" if same else "unvalidated"
         good = outcome in ("resolved", "unvalidated")
         merged = {**theirs, **{k: v for k, v in mine.items() if k in warc.PERMITTED}} if good else None
@@ -40,12 +41,12 @@ def test_against_brute_force(spark):
     records = []
     for i in range(300):
         kind = rng.choice(["response", "revisit", "revisit", "request"])
-        headers = rng.choice([None, {}, {"etag": '"a"'}, {"etag": 'W/"a"', "server": "x"}, {"etag": '"b"', "date": "d%d" % i}, {"last-modified": "m", "etag": '"a"', "content-length": str(i)}])
+        headers = rng.choice([None, {}, {"etag": '"a"'}, {"etag": 'W/"a"', "server": "x"}, {"etag": '"b"', "date": "d%d" % i}, {"ETag": '"b"', "DATE": "d"}, {"ETAG": None}, {"Last-Modified": "m", "Etag": '"a"', "eTag": '"b"'}, {"last-modified": "m", "etag": '"a"', "content-length": str(i)}])
         records.append((i, ts(rng.choice([None, *range(0, 400, 7)]) if i % 20 == 0 else rng.randrange(0, 400)), rng.choice([None, "http://a.org/x", "https://A.org/x/", "http://b.org/?utm_source=1"]), kind, rng.choice([200, 200, 404, 304]) if kind == "response" else 304, headers, f"d{i}", "n"))
     key = {"http://a.org/x": 1, "https://A.org/x/": 1, "http://b.org/?utm_source=1": 2}.get
     df = spark.createDataFrame(records, SCHEMA)
-    for slot in (10, 100, 10**6):
-        assert got(warc.resolve_revisits(df, slot)) == brute(records, key)
+    for ranges in (1, 3, 60):
+        assert got(warc.resolve_revisits(df, ranges)) == brute(records, key)
 
 
 def test_canonical_url(spark):
@@ -59,3 +60,16 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, ts(1), "http://a/", "response", 200, None, "d", None), one, one], SCHEMA)
     assert [r[-1] for r in got(warc.resolve_revisits(df))] == ["unvalidated"] * 2
     assert got(warc.resolve_revisits(df.limit(0))) == []
+
+
+def test_one_url_has_most_rows(spark):
+    """Ranges without a response, one after another, take it from ranges before."""
+    records = [(i, ts(i), "http://a/", "response" if i == 3 or i == 90 else "revisit", 200, {"ETag": '"%d"' % (i > 60)}, f"d{i}", None) for i in range(150)] + [(500 + i, ts(i), f"http://b{i}/", "revisit", 304, None, None, None) for i in range(9)]
+    df = spark.createDataFrame(records, SCHEMA)
+    assert got(warc.resolve_revisits(df, 40)) == brute(records, lambda u: u)
+
+
+def test_clashing_names_and_long_values(spark):
+    rows = [(1, ts(1), "http://a/", "response", 200, {"ETag": "x" * 300_000, "got": "g"}, "d", "n", 1, "p", "b"), (2, ts(2), "http://a/", "revisit", 304, {"etag": "x" * 300_000}, None, "n", 2, "p", "b")]
+    df = spark.createDataFrame(rows, SCHEMA + ", part int, got string, before string")
+    assert [r["outcome"] for r in warc.resolve_revisits(df).collect()] == ["resolved"]
