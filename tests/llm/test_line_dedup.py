@@ -9,7 +9,7 @@ from tests.llm.helpers import DOCS, awkward, clashing, empty, rows
 def brute(docs, ratio, least):
     total, pages = Counter(d[3] for d in docs), Counter()
     for d in docs:
-        for line in {x.strip(" ") for x in (d[1] or "").split("\n")} - {""}:
+        for line in {x.strip() for x in (d[1] or "").split("\n")} - {""}:
             pages[d[3], line] += 1
     out = []
     for d in docs:
@@ -17,7 +17,7 @@ def brute(docs, ratio, least):
         if text is not None:
             cut = {line for (h, line), n in pages.items() if h == d[3] and n >= least and n > ratio * total[h]}
             if cut:
-                text = "\n".join(x for x in text.split("\n") if not x.strip(" ") or x.strip(" ") not in cut)
+                text = "\n".join(x for x in text.split("\n") if not x.strip() or x.strip() not in cut)
         out.append((d[0], text, d[2], d[3], len(text) if text is not None else d[4]))
     return sorted(out, key=repr)
 
@@ -35,6 +35,15 @@ def test_ratio_is_a_strict_bound(spark):
         assert rows(line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS), ratio=ratio, min_pages=1)) == brute(docs, ratio, 1)
 
 
+def test_white_space_and_small_hosts(spark):
+    docs = [(i, ("menu", "\tmenu", "menu\r", "\u00a0 menu\u3000")[i % 4] + f"\r\nbody {i}\r\n", "en", "s", 0) for i in range(8)]
+    docs += [(100 + i, f"{'menu' if i < 2 else 'other'}\nbody {i}", "en", "four", 0) for i in range(4)] + [(200, "alone", "en", "one", 0)]
+    got = rows(line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)))
+    assert got == brute(docs, line_dedup.RATIO, line_dedup.MIN_PAGES)
+    text = {r[0]: r[1] for r in got}
+    assert not any("menu" in x for x in text.values()) and text[0] == "body 0\r\n" and text[100] == "body 0" and text[200] == "alone"
+
+
 def test_awkward(spark):
     assert len(rows(line_dedup.dedup_lines(awkward(spark)))) == 8
     assert rows(line_dedup.dedup_lines(awkward(spark), ratio=0.2, min_pages=2).where("doc_id = 1")) == [(1, "", "en", "s", 0)] * 2

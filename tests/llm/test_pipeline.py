@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from lintel.llm import packing, simhash, toxicity
+from lintel.llm import line_dedup, packing, simhash, toxicity
 from tests.llm.helpers import DOCS, rows
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_packing import check
@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path):
     assert sorted(held["toxicity"], key=repr) == sorted(clean, key=repr)
     truth = {i: t for i, _, t in labels}
     assert np.mean([truth.get(d[0] - 500 if 500 <= d[0] < 600 else d[0], 0) == 0 for d in clean]) > 0.98
-    assert sorted(held["line_dedup"], key=repr) == brute_lines(clean, 0.1, 5)
+    assert sorted(held["line_dedup"], key=repr) == brute_lines(clean, line_dedup.RATIO, line_dedup.MIN_PAGES)
     assert not any("cookie" in (d[1] or "") for d in held["line_dedup"])
     lines = held["line_dedup"]
     high, low, n = simhash.simhash(pa.array([d[1] for d in lines], pa.string()))
