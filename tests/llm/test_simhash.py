@@ -45,25 +45,55 @@ def flipped(rng, base, k):
     return base
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_index_against_brute_force(spark, seed):
+def prints(seed, bases=150, copies=6):
     rng = np.random.default_rng(seed)
-    prints = []
-    for _ in range(150):
+    out = []
+    for _ in range(bases):
         base = tuple(rng.integers(0, 1 << 63, 2).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 2).astype(np.uint64))
-        prints.append(base)
-        prints += [flipped(rng, base, int(k)) for k in rng.integers(1, 26, 6)]
-    ids = np.arange(len(prints))
-    high, low = (np.array([p[k] for p in prints], np.uint64) for k in (0, 1))
-    d = np.bitwise_count(high[:, None] ^ high[None]).astype(int) + np.bitwise_count(low[:, None] ^ low[None])
-    df = spark.createDataFrame([(int(i), int(np.int64(h.view(np.int64))), int(np.int64(w.view(np.int64)))) for i, h, w in zip(ids, high, low, strict=True)], "id long, high long, low long")
-    found = rows(simhash.near_edges(df, simhash.DISTANCE))
-    got = groups(found, ids.tolist())
+        out.append(base)
+        out += [flipped(rng, base, int(k)) for k in rng.integers(1, 26, copies)]
+    return (np.array([p[k] for p in out], np.uint64) for k in (0, 1))
+
+
+def distances(high, low):
+    return np.bitwise_count(high[:, None] ^ high[None]).astype(int) + np.bitwise_count(low[:, None] ^ low[None])
+
+
+@pytest.mark.parametrize(("seed", "segments", "bucket_rows"), [(0, None, 1 << 18), (1, 8, 5), (2, 7, 1 << 18), (3, 6, 1 << 18), (4, None, 1)])
+def test_index_against_brute_force(spark, seed, segments, bucket_rows):
+    """All pairs within the distance are found, and counted once."""
+    high, low = prints(seed, *(() if segments != 6 else (20, 3)))
+    ids, d = np.arange(len(high)), distances(high, low)
+    n = ids % 3 + 1
+    df = spark.createDataFrame([(int(i), int(np.int64(h.view(np.int64))), int(np.int64(w.view(np.int64))), int(k)) for i, h, w, k in zip(ids, high, low, n, strict=True)], "id long, high long, low long, n long")
+    found = simhash.near_edges(df, simhash.DISTANCE, simhash.layout(simhash.DISTANCE, segments) if segments else None, bucket_rows).collect()
+    got = groups([(r["a"], r["b"]) for r in found if r["b"] is not None], ids.tolist())
     near = [(a, b) for a in ids for b in ids[:a] if d[a, b] <= simhash.DISTANCE]
-    assert all(got[a] == got[b] for a, b in near if d[a, b] <= 15)
-    assert sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
-    truth = groups(near, ids.tolist())
-    assert all(truth[a] == truth[b] for a, b in found)
+    assert any(d[a, b] == simhash.DISTANCE for a, b in near)
+    assert got == groups(near, ids.tolist())
+    links = np.zeros(len(ids), int)
+    for r in found:
+        if r["b"] is None:
+            links[r["a"]] += r["links"]
+    assert links.tolist() == ((d <= simhash.DISTANCE) & (ids[:, None] != ids)).dot(n).tolist()
+
+
+@pytest.mark.parametrize("segments", [4, 5, 6, 7, 8, 18, 19])
+def test_layout_covers_all_bits_and_any_difference(segments):
+    parts = simhash.layout(18, segments)
+    assert len(parts) == 19 and sorted(b for p in parts for b in range(p.at, p.at + p.bits)) == list(range(128))
+    rng = np.random.default_rng(segments)
+    for _ in range(300):
+        high, low = (np.array([x], np.uint64) for x in flipped(rng, (np.uint64(0), np.uint64(0)), 18))
+        assert simhash._met_before(parts, len(parts), high, low)[0]
+
+
+def test_work_grows_less_than_with_fixed_segments():
+    """Comparisons and look-ups of a fingerprint: with segments of 16 bits they grow with n, with the best ones less."""
+    each = {n: sum(simhash.work(simhash.best_layout(18, n), n)) for n in (10**5, 10**6, 10**7, 10**8)}
+    fixed = {n: sum(simhash.work(simhash.layout(18, 8), n)) for n in each}
+    assert each[10**6] < 6 * each[10**5] and each[10**7] < 6 * each[10**6] and each[10**8] < 10 * each[10**7]
+    assert each[10**7] * 4 < fixed[10**7] and each[10**8] * 10 < fixed[10**8]
 
 
 def test_near_copies(spark):
@@ -76,10 +106,14 @@ def test_near_copies(spark):
             w[rng.integers(0, len(w))] = "changed"
             docs.append((10 * i + j, " ".join(w), "en", "s", 0))
     got = rows(simhash.near_duplicates(spark.createDataFrame(docs, DOCS)))
-    assert sum(g == d // 10 * 10 for d, g, _ in got) >= 0.95 * len(got)
-    assert all(g // 10 == d // 10 for d, g, _ in got)
+    high, low, _ = simhash.simhash(pa.array([d[1] for d in docs]))
+    near = (distances(high, low) <= simhash.DISTANCE) & ~np.eye(len(docs), dtype=bool)
+    root = groups([(docs[a][0], docs[b][0]) for a, b in zip(*np.nonzero(near), strict=True)], [d[0] for d in docs])
+    assert got == sorted(((d[0], root[d[0]], root[d[0]] != d[0], int(near[i].sum())) for i, d in enumerate(docs)), key=repr)
+    assert sum(g == d // 10 * 10 for d, g, *_ in got) >= 0.95 * len(got)
+    assert all(g // 10 == d // 10 for d, g, *_ in got)
     kept = rows(simhash.dedup(spark.createDataFrame(docs, DOCS)), "doc_id")
-    assert kept == [(d,) for d in sorted((d for d, _, dup in got if not dup), key=lambda x: repr((x,)))]
+    assert kept == [(d,) for d in sorted((d for d, _, dup, _ in got if not dup), key=lambda x: repr((x,)))]
 
 
 def test_components(spark):
@@ -93,7 +127,7 @@ def test_components(spark):
 
 
 def test_awkward(spark):
-    got = dict((a, (b, c)) for a, b, c in rows(simhash.near_duplicates(awkward(spark, [(7, "one two three four", "en", "s", 0), (7, "six five seven", "en", "s", 0)]))))
+    got = dict((a, (b, c)) for a, b, c, _ in rows(simhash.near_duplicates(awkward(spark, [(7, "one two three four", "en", "s", 0), (7, "six five seven", "en", "s", 0)]))))
     assert got == {1: (1, False), 2: (2, False), 3: (3, False), 4: (4, False), 5: (5, False), 6: (6, False), 7: (1, True)}
     kept = rows(simhash.dedup(awkward(spark)), "doc_id")
     assert kept == sorted([(i,) for i in (1, 2, 3, 4, 5, 6, None)], key=repr)
