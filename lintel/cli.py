@@ -44,7 +44,7 @@ def collect(spark: SparkSession, config: Config, location: str) -> DataFrame:
 
 
 def with_content(files: DataFrame, config: Config) -> DataFrame:
-    """files with what is at their paths, which all executors see; null where there is nothing."""
+    """files with what is at their paths, which all executors see, and whether that is whole (lintel.sources.local.content_of); null where there is nothing."""
     from lintel.session import ship
 
     ship(files.sparkSession)
@@ -56,17 +56,12 @@ def with_content(files: DataFrame, config: Config) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            content = []
+            got = []
             for path in b.column(b.schema.get_field_index("path")).to_pylist():
-                try:
-                    small = os.path.getsize(path) <= largest
-                    with open(path, "rb") as f:
-                        content.append(f.read() if small else None)
-                except OSError:
-                    content.append(None)
-            yield b.append_column("content", pa.array(content, pa.binary()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary"
+                got.append(local.content_of(path, os.path.getsize(path), largest) if os.path.isfile(path) else (None, False))
+            yield b.append_column("content", pa.array([x for x, _ in got], pa.binary())).append_column("whole", pa.array([w for _, w in got], pa.bool_()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary, whole boolean"
     return files.mapInArrow(run, schema)
 
 

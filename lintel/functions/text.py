@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -29,6 +30,18 @@ def sniffed_text(content: Column) -> Column:
     return bom | markup | (~other & ~binary)
 
 
+_BOM = re.compile(rb"^(\xef\xbb\xbf|\xfe\xff|\xff\xfe)")
+_MARKUP = re.compile(rb"(?i)^[\t\n\f\r ]*<((" + _TAGS.encode() + rb")[ >]|\?xml)|^[\t\n\f\r ]*<!--")
+_OTHER = re.compile(rb"^(%PDF-|%!PS-Adobe-|GIF8[79]a|\x89PNG|BM|RIFF|PK\x03\x04|Rar!|\x1f\x8b)")
+_BINARY = re.compile(rb"[\x00-\x08\x0b\x0e-\x1a\x1c-\x1f]")
+
+
+def sniffed_text_bytes(content: bytes) -> bool:
+    """sniffed_text where archives are unpacked, member by member."""
+    s = content[:SNIFF_BYTES]
+    return bool(_BOM.search(s) or _MARKUP.search(s) or not _OTHER.search(s) and not _BINARY.search(s))
+
+
 def is_text(path: Column, content: Column) -> Column:
     """A known suffix; else an empty content; else no NUL in the first 8 KiB, and sniffed text or 95 % printable bytes."""
     sample = _latin(content, SAMPLE_BYTES)
@@ -41,7 +54,17 @@ def is_text(path: Column, content: Column) -> Column:
 
 def as_text(content: Column) -> Column:
     """Bytes as UTF-8; what is not valid is replaced, so that no keyword's place drifts."""
-    return F.make_valid_utf8(F.decode(content, "UTF-8"))
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def has_bytes(content: Column, pattern: Column) -> Column:
+    """Whether the pattern is anywhere in the content, byte by byte; an empty pattern is in all."""
+    return F.contains(content.cast("binary"), pattern.cast("binary"))
+
+
+def keyword_list(joined: str) -> list[str]:
+    """`a|b` as keywords."""
+    return joined.split("|")
 
 
 def matched(text: Column, keywords: Sequence[str]) -> Column:
@@ -72,6 +95,12 @@ def listed(found: Column) -> Column:
     return F.concat(F.lit("'"), F.array_join(found, "', '"), F.lit("'"))
 
 
+def member_wanted_name(name: str, whitelist: Sequence[str], blacklist: Sequence[str]) -> bool:
+    """member_wanted where archives are unpacked."""
+    hit = lambda parts: any(p.lower() in name.lower() or not name for p in parts)
+    return not (blacklist and hit(blacklist)) and not (whitelist and not hit(whitelist))
+
+
 def member_wanted(name: Column, whitelist: Sequence[str], blacklist: Sequence[str]) -> Column:
     """Archive members are filtered by literal, case-insensitive parts of their name, the blacklist first."""
     low, out = F.lower(name), F.lit(True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintel.config import Config
 from lintel.functions import text
 from lintel.operators.checks import as_messages, keyword_findings
+from lintel.sources.archive_readers import Gate
 
 
 def admitted_by_budget(members: DataFrame, key: str, order: str, size: str, budget: int, factor: Column | int = 1, passes: Column | None = None) -> DataFrame:
@@ -38,12 +39,23 @@ def charge(name: Column) -> Column:
     return F.when(name.rlike(r"\.(zip|7z)$"), 2).otherwise(1)
 
 
-def member_messages(members: DataFrame, config: Config) -> DataFrame:
-    """Keyword findings in the members (see lintel.model.MEMBERS) that are read: for each member and set of keywords one."""
-    check = "IsArchiveFreeOfKeywords"
-    test = config.test(check)
-    budget = config.general.max_total_archive_memory if config.general.max_total_archive_memory > 0 else 100 << 20
-    read = admitted_by_budget(members.where("error is null"), "archive_path", "ord", "size", budget, charge(F.col("archive_name")), member_gate(config, test.whitelist, test.blacklist))
+def gate_of(config: Config, check: str = "IsArchiveFreeOfKeywords") -> Gate:
+    """member_gate and the budget for the unpacking itself."""
+    g, test = config.general, config.test(check)
+    return Gate(g.max_archive_file_size if g.max_archive_file_size > 0 else 10 << 20, g.max_total_archive_memory if g.max_total_archive_memory > 0 else 100 << 20, tuple(test.whitelist), tuple(test.blacklist))
+
+
+def member_messages(members: DataFrame, config: Config, check: str = "IsArchiveFreeOfKeywords", unpacked: bool = False) -> DataFrame:
+    """Keyword findings in the members (see lintel.model.MEMBERS) that are read: for each member and set of keywords one.
+
+    unpacked: the members come from read_members, which has let gates and budget decide already.
+    """
+    gate = gate_of(config, check)
+    read = members.where("error is null")
+    if unpacked:
+        read = read.where("content is not null")
+    else:
+        read = admitted_by_budget(read, "archive_path", "ord", "size", gate.budget, charge(F.col("archive_name")), member_gate(config, gate.whitelist, gate.blacklist))
     found = keyword_findings(text.as_text(F.col("content")), F.lit(0), config, check)
     rows = read.select(F.col("archive_path").alias("path"), F.col("member").alias("name"), F.col("member").alias("display_name"), F.col("archive_label").alias("archive_name"), F.explode(found).alias("content"))
     return as_messages(rows.withColumn("test_name", F.lit(check)))

@@ -30,11 +30,13 @@ NAME_CHECKS: dict[str, NameCheck] = {
     "IsFileNameTooLong": lambda n, _: _single(names.too_long(n)),
     "IsValidName": _invalid,
 }
-#: By registry: the checks of files, and those of archives' lists of members.
-BY_FILE = ("HasOnlyASCII", "HasNoWhiteSpace", "IsFreeOfKeywords", "IsValidName", "HasFileNameSpecialChars", "IsFileNameTooLong")
-BY_MEMBER_NAME = ("HasOnlyASCII", "HasNoWhiteSpace", "IsValidName")
-BY_MEMBER_CONTENT = ("IsArchiveFreeOfKeywords",)
-BY_REPOSITORY = ("HasReadme", "ReadMeContainsTOC")
+#: The registries, which scans go by: checks of files, of archives' lists of members, of members' contents, and of packages.
+#: A check of names is also in NAME_CHECKS; one of contents of files or members, or of packages, in the table of its kind
+#: (lintel.plans.scan.CONTENT_CHECKS, MEMBER_CHECKS and REPOSITORY_CHECKS). To add one, put it there and its name here.
+BY_FILE = ["HasOnlyASCII", "HasNoWhiteSpace", "IsFreeOfKeywords", "IsValidName", "HasFileNameSpecialChars", "IsFileNameTooLong"]
+BY_MEMBER_NAME = ["HasOnlyASCII", "HasNoWhiteSpace", "IsValidName"]
+BY_MEMBER_CONTENT = ["IsArchiveFreeOfKeywords"]
+BY_REPOSITORY = ["HasReadme", "ReadMeContainsTOC"]
 
 _SOURCE = ("path", "name", "display_name", "archive_name")
 
@@ -54,7 +56,7 @@ def _one_by_one(info: str) -> Callable[[Column], Column]:
 
 def name_messages(files: DataFrame, config: Config, checks: Iterable[str] = tuple(NAME_CHECKS)) -> DataFrame:
     """All name checks in one pass: an array of findings a row, then exploded; each check sees the names that its section admits."""
-    found = []
+    found = [F.array().cast("array<struct<test_name:string,content:string>>")]
     for c in checks:
         hits = F.transform(NAME_CHECKS[c](F.col("name"), config), _labelled(c))
         found.append(F.when(wanted(config, c, F.col("name")), hits).otherwise(F.slice(hits, 1, 0)))
@@ -85,6 +87,18 @@ def keyword_messages(files: DataFrame, config: Config, check: str = "IsFreeOfKey
     return as_messages(rows.withColumn("test_name", F.lit(check)))
 
 
+def chunk_messages(chunks: DataFrame, config: Config, check: str = "IsFreeOfKeywords") -> DataFrame:
+    """Findings in large texts that come in overlapping chunks (lintel.sources.local.text_chunks): for each keyword, as configured, one a file, however many chunks have it."""
+    large = F.lit(config.general.large_text_bytes + 1)
+    rows = chunks.where("error is null").where(wanted(config, check, F.col("name"))).select(*_SOURCE, F.explode(keyword_findings(text.as_text(F.col("content")), large, config, check)).alias("content")).distinct()
+    return as_messages(rows.withColumn("test_name", F.lit(check)))
+
+
+def large_file_warnings(files: DataFrame, limit: int, message: str) -> DataFrame:
+    """(message): a warning for each file of more than `limit` bytes."""
+    return files.where(F.col("size") > limit).select(F.concat(F.lit("Warning for file '"), F.col("name"), F.lit(f"': {message}")).alias("message"))
+
+
 def blob_messages(bodies: DataFrame, config: Config, check: str = "IsFreeOfKeywords") -> DataFrame:
     """Findings in the blobs of office files: rows of a file's columns, idx and content; one for each blob and set of keywords."""
     found = []

@@ -47,6 +47,12 @@ def totals(messages: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return keyed.crossJoin(F.broadcast(files.agg(F.count(F.lit(1)).alias("total_files"))))
 
 
+def subject_details(messages: DataFrame, keys: DataFrame, key: str = "subject") -> DataFrame:
+    """keys with what the last finding of their subject says: (key, test_name, content), nulls where the subject has none. Of a key's findings the last counts."""
+    last = _named(messages).groupBy(m.subject_key().alias("__s")).agg(F.max_by(F.struct("test_name", "content"), "ord").alias("__d"))
+    return keys.join(last, F.col(key) == F.col("__s"), "left").select(F.col(key), F.col("__d.test_name").alias("test_name"), F.col("__d.content").alias("content"))
+
+
 def check_counts(messages: DataFrame) -> DataFrame:
     return _named(messages).groupBy(F.col("test_name").alias("checkname")).agg(F.count(F.lit(1)).alias("issue_count"))
 
@@ -76,11 +82,13 @@ def truncate_by_type(messages: DataFrame, most: int) -> DataFrame:
     """
     if most <= 0:
         return messages
-    kind = Window.partitionBy("__type")
     rows = messages.withColumn("__type", m.message_type(F.col("content")))
-    rows = rows.withColumn("__n", F.count(F.lit(1)).over(kind)).withColumn("__k", F.row_number().over(kind.orderBy("ord")))
-    kept = rows.where((F.col("__n") <= most) | (F.col("__k") < most))
-    more = rows.where((F.col("__n") > most) & (F.col("__k") == 1)).withColumn("content", F.concat(F.lit("... and "), (F.col("__n") - (most - 1)).cast("string"), F.lit(" more similar messages (truncated)")))
+    counts = rows.groupBy(F.col("__type").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    # A pure bound on the rank: each task keeps `most` rows a type before any is shuffled.
+    first = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__type").orderBy("ord"))).where(F.col("__k") <= most)
+    first = first.join(counts, F.col("__type") == F.col("__t"))
+    kept = first.where((F.col("__n") <= most) | (F.col("__k") < most))
+    more = first.where((F.col("__n") > most) & (F.col("__k") == 1)).withColumn("content", F.concat(F.lit("... and "), (F.col("__n") - (most - 1)).cast("string"), F.lit(" more similar messages (truncated)")))
     return kept.unionByName(more).select(*messages.columns)
 
 
@@ -94,8 +102,12 @@ def summary_lines(messages: DataFrame, most: int = MAX_SHOWN) -> DataFrame:
     subject = F.when(F.col("source_kind") == "file", m.shown_name()).otherwise("repository")
     full = F.coalesce(F.concat(F.nullif("archive_name", F.lit("")), F.lit(" -> "), subject), subject)
     rows = _named(messages).select("ord", F.col("test_name").alias("checkname"), m.parent_path(full).alias("parent"), m.message_key(F.col("content")).alias("key"), m.issue_line(subject, F.col("archive_name"), F.col("content")).alias("line"))
-    check, group = Window.partitionBy("checkname"), Window.partitionBy("checkname", "parent", "key")
-    rows = rows.withColumn("all", F.count(F.lit(1)).over(check)).withColumn("n", F.count(F.lit(1)).over(group)).withColumn("k", F.row_number().over(group.orderBy("ord"))).withColumn("first", F.min("ord").over(group))
+    group = ["checkname", "parent", "key"]
+    groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    all_ = groups.groupBy(F.col("checkname").alias("__c")).agg(F.sum("n").alias("all"))
+    groups = groups.join(F.broadcast(all_), F.col("checkname") == F.col("__c")).select(*[F.col(c).alias(f"__{c}") for c in group], "n", "first", "all")  # a row a check
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("ord"))).where(F.col("k") <= most)
+    rows = rows.join(groups, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group])
     short = F.col("all") <= most
     place = lambda k: F.when(short, F.struct(F.col("ord").alias("a"), F.lit(0).alias("b"))).otherwise(F.struct(F.col("first").alias("a"), k.alias("b")))
     shown = rows.where(short | (F.col("n") <= most) | (F.col("k") <= most)).select("checkname", place(F.col("k")).alias("place"), "line")

@@ -13,6 +13,7 @@ from lintel.functions import names, text
 from lintel.model import is_archive, suffix_of, with_derived
 from lintel.operators import archives, checks, filters, report, repository
 from lintel.sources import ckan
+from lintel.sources.archive_readers import Gate, read_members
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -382,3 +383,116 @@ def ckan_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"""SELECT 'up' || page_id AS name, CASE WHEN page_id % 5 = 0 THEN '' ELSE '/srv/portal/resources/' || substr({_RID}, 1, 3) || '/' || substr({_RID}, 4, 3) || '/' || substr({_RID}, 7) END AS path FROM pages""")
 def ckan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ckan.resources(_portal(spark, sf_dir)).select("name", ckan.storage_path(F.col("url"), "/srv/portal/").alias("path"))
+
+
+@_register(f"WITH t AS (SELECT 'doc' || doc_id AS path, text FROM documents), r AS ({_small('text')}) SELECT path, content FROM r WHERE content IS NOT NULL")
+def keyword_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords in bytes that are no UTF-8: a Latin-1 letter before each text, and half a character after it."""
+    rows = _texts(spark, sf_dir).withColumn("bytes", F.concat(F.unhex(F.lit("E9")), F.col("text").cast("binary"), F.unhex(F.lit("C3"))))
+    found = checks.keyword_findings(text.as_text(F.col("bytes")), F.lit(0), _CONFIG)
+    return rows.select("path", F.explode(found).alias("content"))
+
+
+def _conversation_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a zip, tar or tar.gz archive, its turns as members."""
+
+    def pack(batches):
+        import io
+        import tarfile
+        import zipfile
+
+        import pyarrow as pa
+
+        for b in batches:
+            names, data = [], []
+            for r in b.to_pylist():
+                kind, buffer = (".zip", ".tar", ".tar.gz")[r["conv_id"] % 3], io.BytesIO()
+                members = [(f"{t['role']}/{t['turn']}.txt", (t["text"] or "").encode()) for t in r["turns"]]
+                if kind == ".zip":
+                    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                        for name, content in members:
+                            z.writestr(name, content)
+                else:
+                    with tarfile.open(fileobj=buffer, mode="w:gz" if kind == ".tar.gz" else "w:") as t:
+                        for name, content in members:
+                            i = tarfile.TarInfo(name)
+                            i.size = len(content)
+                            t.addfile(i, io.BytesIO(content))
+                names.append(f"conv{r['conv_id']}{kind}")
+                data.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())] * 3 + [pa.array(data, pa.binary())], names=["path", "name", "display_name", "content"])
+
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns")).mapInArrow(pack, "path string, name string, display_name string, content binary")
+
+
+_ARCHIVES = """a AS (SELECT *, 'conv' || conv_id || CASE conv_id % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.tar' ELSE '.tar.gz' END AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS ord, strlen(text) AS size FROM conversations)"""
+
+
+@_register(f"WITH {_ARCHIVES} SELECT path, CAST(ord AS INTEGER) AS ord, role || '/' || turn || '.txt' AS member, size, false AS is_dir FROM a")
+def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of zip, tar and tar.gz archives, from the archives' bytes."""
+    return read_members(_conversation_archives(spark, sf_dir)).select(F.col("archive_path").alias("path"), "ord", "member", "size", "is_dir")
+
+
+_TWICE = "CASE WHEN s.path LIKE '%.zip' THEN 2 ELSE 1 END * b.u + s.size <= 700"
+
+
+@_register(f"""WITH RECURSIVE {_ARCHIVES},
+s AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ord) AS k FROM a WHERE size > 0 AND size <= 300),
+b AS (SELECT path, k, ord, size <= 700 AS ok, CASE WHEN size <= 700 THEN size ELSE 0 END AS u FROM s WHERE k = 1
+UNION ALL SELECT s.path, s.k, s.ord, {_TWICE}, b.u + CASE WHEN {_TWICE} THEN s.size ELSE 0 END FROM b JOIN s ON s.path = b.path AND s.k = b.k + 1)
+SELECT a.path, a.role || '/' || a.turn || '.txt' AS member, a.text AS content FROM a JOIN b ON a.path = b.path AND a.ord = b.ord WHERE b.ok""")
+def archive_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of the members of up to 300 bytes that a budget of 700 bytes an archive admits, decided while unpacking."""
+    rows = read_members(_conversation_archives(spark, sf_dir), Gate(largest=300, budget=700)).where("content is not null")
+    return rows.select(F.col("archive_path").alias("path"), "member", F.col("content").cast("string").alias("content"))
+
+
+@_register("""WITH t AS (SELECT unnest(['IsFreeOfKeywords', 'HasValidNameLength', 'HasReadMe', 'IsValidName', 'HasNoWhiteSpace']) AS checkname)
+SELECT checkname, CASE checkname WHEN 'IsFreeOfKeywords' THEN 'Possible sensitive content detected' WHEN 'HasValidNameLength' THEN 'File name too long' WHEN 'HasReadMe' THEN 'Missing README file' ELSE checkname END AS title FROM t""")
+def check_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(c,) for c in ("IsFreeOfKeywords", "HasValidNameLength", "HasReadMe", "IsValidName", "HasNoWhiteSpace")], "checkname string")
+    return rows.select("checkname", m.title(F.col("checkname")).alias("title"))
+
+
+@_register("SELECT p_partkey, CASE WHEN strlen(p_name) > 20 THEN p_name[:17] || '...' ELSE p_name END AS short FROM part")
+def message_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, which are ASCII, as findings that are cut at 20 bytes."""
+    return _table(spark, sf_dir, "part").select("p_partkey", m.shortened(F.col("p_name"), 20).alias("short"))
+
+
+@_register("SELECT doc_id, contains(lower(text), 'token') OR contains(lower(text), 'bearer') OR contains(lower(text), 'mit') AS hit FROM documents")
+def keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords that are given as one string, with bars between them."""
+    return _table(spark, sf_dir, "documents").select("doc_id", text.any_match(F.col("text"), text.keyword_list("token|Bearer|MIT")).alias("hit"))
+
+
+@_register("SELECT doc_id, contains(text, lang) AS hit, true AS every FROM documents")
+def byte_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain search in bytes; the empty pattern is in all."""
+    return _table(spark, sf_dir, "documents").select("doc_id", text.has_bytes(F.col("text"), F.col("lang")).alias("hit"), text.has_bytes(F.col("text"), F.lit("")).alias("every"))
+
+
+@_register(f"""WITH {_M}, l AS (SELECT subject, test, content, row_number() OVER (PARTITION BY subject ORDER BY ord DESC) AS k FROM mk),
+s AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN source || '.zip > ' ELSE '' END || source || '/' || {_FIRST_LINE} AS subject FROM documents UNION SELECT 'repository')
+SELECT s.subject, l.test AS test_name, l.content FROM s LEFT JOIN l ON s.subject = l.subject AND l.k = 1""")
+def subject_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last finding of each file, and of the package, says."""
+    name = F.concat_ws("/", "source", F.substring_index("text", "\n", 1))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(".zip > "))).otherwise(""), name).alias("subject"))
+    return report.subject_details(_messages(spark, sf_dir), files.unionByName(spark.createDataFrame([("repository",)], "subject string")).distinct())
+
+
+@_register(f"WITH l AS (SELECT 'doc' || doc_id AS path, text FROM documents) {_LARGE}")
+def keyword_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords in texts that come in chunks of 700 characters with an overlap of 50: what is found in several chunks is found once."""
+    rows = _texts(spark, sf_dir).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 700).cast("int"))))
+    first = F.greatest(F.lit(0), F.col("chunk") * 700 - 50)
+    rows = rows.withColumn("content", F.substring(F.col("text"), first + 1, (F.col("chunk") + 1) * 700 - first).cast("binary")).withColumn("error", F.lit(None).cast("string"))
+    return checks.chunk_messages(rows, _CONFIG).select("path", "content")
+
+
+@_register("SELECT 'Warning for file ''doc' || doc_id || ''': slow to read' AS message FROM documents WHERE strlen(text) > 20000")
+def large_file_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.large_file_warnings(_texts(spark, sf_dir), 20_000, "slow to read")

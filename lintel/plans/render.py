@@ -40,7 +40,7 @@ def as_dict(result: ScanResult) -> dict:
             "details_subject_focused": [_plain(r) for r in report.by_subject(messages).orderBy("subject", "archive_name").collect()],
             "details_check_focused": [_plain(r) for r in report.by_check(messages).orderBy("checkname").collect()],
             "pdf_files": [r["entry"] for r in result.pdf_files.orderBy("entry").collect()],
-            "errors": [],
+            "errors": [{"level": "error", "message": r["message"]} for r in result.errors.orderBy("message").collect()],
             "warnings": [{"level": "warning", "message": r["message"]} for r in result.warnings.orderBy("message").collect()],
         }
     finally:

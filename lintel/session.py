@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -14,22 +15,22 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent
 
 
-def local_session(name: str = "lintel", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for one machine; on a cluster the session comes from outside."""
+def local_session(name: str = "lintel", cores: str = "*", partitions: int = 8, memory: str = "8g", ui: bool = False) -> SparkSession:
+    """A session for one machine, with Spark's UI (plans, times, profiles) if asked for; on a cluster the session comes from outside."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", str(ui).lower())
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all is one process (tests). On a cluster it must be set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lintel-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -3,65 +3,129 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintel.functions import text
 from lintel.model import BODIES, MEMBERS
 from lintel.session import ship
+from lintel.sources import sevenzip
 
 _MEMBER_NAMES = ("archive_path", "archive_name", "archive_label", "ord", "member", "size", "is_dir", "content", "error")
+_BATCH_BYTES = 8 << 20
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def members_of(data: bytes, name: str, with_content: bool, largest: int) -> Iterator[tuple[str, int, bool, bytes | None]]:
-    """(member, size, is_dir, content) in the archive's order; contents over `largest` bytes are not read."""
+@dataclass(frozen=True)
+class Gate:
+    """Which members' contents are read (see lintel.operators.archives.member_gate), and how many bytes of an archive in all."""
+
+    largest: int = 10 << 20
+    budget: int = 100 << 20
+    whitelist: tuple[str, ...] = ()
+    blacklist: tuple[str, ...] = ()
+    only_text: bool = True
+
+
+class _Budget:
+    """What an archive has been charged; members of zip and 7z archives count twice against what was read before."""
+
+    def __init__(self, gate: Gate, name: str):
+        self.gate, self.used, self.factor = gate, 0, 2 if name.endswith((".zip", ".7z")) else 1
+
+    def content(self, name: str, size: int, read: Callable[[int], bytes]) -> bytes | None:
+        """A member's content if the gate and the budget admit it. Of others no more than the sniffed bytes are unpacked."""
+        g = self.gate
+        if not 0 < size <= g.largest or not text.member_wanted_name(name, g.whitelist, g.blacklist):
+            return None
+        head = read(min(size, text.SNIFF_BYTES))
+        if g.only_text and not text.sniffed_text_bytes(head):
+            return None
+        if self.factor * self.used + size > g.budget:
+            return None
+        self.used += size
+        return head + read(size - len(head))
+
+
+def members_of(data: bytes, name: str, gate: Gate | None) -> Iterator[tuple[str, int, bool, bytes | None, str | None]]:
+    """(member, size, is_dir, content, error) in the archive's order, one after another; without a gate contents are not read.
+
+    A member that cannot be read has an error and no content.
+    """
+    budget = _Budget(gate, name) if gate else None
+
+    def content(member: str, size: int, is_dir: bool, open_: Callable[[], Callable[[int], bytes]]):
+        if budget is None or is_dir:
+            return None, None
+        try:
+            return budget.content(member, size, open_()), None
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error, lzma.LZMAError, OSError, ValueError) as e:
+            return None, f"Error reading member '{member}' of archive '{name}': {e}"
+
     if name.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for i in z.infolist():
-                content = None
-                if with_content and not i.is_dir() and 0 < i.file_size <= largest:
-                    try:
-                        content = z.read(i)
-                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
-                        continue  # a member that cannot be read is left out
-                yield i.filename, i.file_size, i.is_dir(), content
+                with ExitStack() as stack:
+                    yield i.filename, i.file_size, i.is_dir(), *content(i.filename, i.file_size, i.is_dir(), lambda i=i, stack=stack: stack.enter_context(z.open(i)).read)
     elif name.endswith((".tar", ".tar.gz")):
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz" if name.endswith(".gz") else "r:") as t:
-            found = list(t) if not with_content else t
-            for i in found:
-                content = None
-                if with_content and i.isreg() and 0 < i.size <= largest:
-                    content = t.extractfile(i).read()
-                yield i.name + "/" * (i.isdir() and not i.name.endswith("/")), i.size, i.isdir(), content
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r|gz" if name.endswith(".gz") else "r|") as t:
+            for i in t:
+                own = i.name + "/" * (i.isdir() and not i.name.endswith("/"))
+                yield own, i.size, i.isdir(), *content(own, i.size, not i.isreg(), lambda i=i: t.extractfile(i).read)
     elif name.endswith(".7z"):
-        raise ValueError("7z archives cannot be read here")
+        for member, size, is_dir, read in sevenzip.members(data):
+            yield member, size, is_dir, *content(member, size, is_dir or read is None, lambda read=read: read)
     else:
         raise ValueError(f"Unsupported archive type: {name}")
 
 
-def read_members(archives: DataFrame, with_content: bool = True, largest: int = 10 << 20) -> DataFrame:
-    """lintel.model.MEMBERS of a files table with `content`. An archive that cannot be read gives one row with `error`, and no other when only listed."""
+def read_members(archives: DataFrame, gate: Gate | None = None) -> DataFrame:
+    """lintel.model.MEMBERS of a files table with `content`; contents of the members that the gate admits, none without a gate.
+
+    Members are handed on as they are unpacked, in batches of a few MB, so that a task holds one
+    archive and one batch whatever the archive unpacks to. An archive that cannot be read gives a
+    row with `error` where it breaks off, and no other row when only listed; so does a member that
+    cannot be read.
+    """
     ship(archives.sparkSession)
 
     def run(batches):
+        rows, held = [], 0
         for b in batches:
-            for r in b.to_pylist():
-                rows, label = [], r["display_name"] or r["name"]
-                head = (r["path"], r["name"], label)
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                head = (r["path"], r["name"], r["display_name"] or r["name"])
+                listed = []
                 try:
-                    for k, (member, size, is_dir, content) in enumerate(members_of(r["content"] or b"", r["name"], with_content, largest)):
-                        rows.append((*head, k, member, size, is_dir, content, None))
+                    for k, (member, size, is_dir, content, error) in enumerate(members_of(r["content"] or b"", r["name"], gate)):
+                        one = (*head, k, member, size, is_dir, content, error)
+                        if gate is None:
+                            listed.append(one)
+                            continue
+                        rows.append(one)
+                        held += len(content or b"")
+                        if len(rows) >= 256 or held > _BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, held = [], 0
                 except Exception as e:  # noqa: BLE001 - archives of strangers break in many ways
-                    rows = ([] if not with_content else rows) + [(*head, -1, None, None, None, None, f"Error reading archive '{r['name']}': {e}")]
-                for at in range(0, len(rows), 256):
-                    yield _batch(rows[at : at + 256])
+                    listed = [(*head, -1, None, None, None, None, f"Error reading archive '{r['name']}': {e}")]
+                rows += listed
+                while len(rows) >= 256:
+                    yield _batch(rows[:256])
+                    rows = rows[256:]
+        if rows:
+            yield _batch(rows)
 
     return archives.select("path", "name", "display_name", "content").mapInArrow(run, MEMBERS)
 
@@ -71,6 +135,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(_MEMBER_NAMES))
 
 
+def _sheets(z: zipfile.ZipFile, have: set[str]) -> list[str]:
+    """The sheets' parts in the workbook's order; those it does not name come last, by name."""
+    named: list[str] = []
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= have:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+            to = targets.get(sheet.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"), "")
+            named.append(to.lstrip("/") if to.startswith("/") else f"xl/{to}")
+    rest = sorted((n for n in have if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
+    return list(dict.fromkeys([n for n in named if n in have and n.startswith("xl/worksheets/")] + rest))
+
+
 def xlsx_blobs(data: bytes) -> list[str]:
     """A text for each sheet that has string cells: the cells of a row, each with a space after it, and a line end."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -78,7 +154,7 @@ def xlsx_blobs(data: bytes) -> list[str]:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in have:
             shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_S}si")]
-        sheets = sorted((n for n in have if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
+        sheets = _sheets(z, have)
         out = []
         for sheet in sheets:
             text = ""

@@ -13,7 +13,26 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lintel.model import suffix_of, with_derived
 from lintel.session import ship
 
-LISTING = "path string, name string, size bigint, is_dir boolean, content binary"
+LISTING = "path string, name string, size bigint, is_dir boolean, content binary, whole boolean"
+#: Files of more bytes are read by chunks, but for those that must be whole to be read at all.
+CHUNK_BYTES, OVERLAP_BYTES = 1 << 20, 2 << 10
+#: Of others as many are read as tell whether they are text.
+SAMPLE_BYTES = 8192
+#: Texts of more bytes are not read.
+MOST_BYTES = 2 << 30
+_WHOLE = (".7z", ".gz", ".tar", ".zip", ".xlsx", ".docx")
+
+
+def content_of(path: str, size: int, largest: int, chunk: int = CHUNK_BYTES) -> tuple[bytes | None, bool]:
+    """(content, whether it is whole): up to `chunk` bytes, an archive, office file or readme up to `largest`; of a larger file the beginning, of one over `largest`, or that cannot be read, nothing."""
+    if size > largest:
+        return None, False
+    try:
+        with open(path, "rb") as f:
+            whole = size <= chunk or path.lower().endswith(_WHOLE) or os.path.basename(path).lower() in ("readme.md", "readme.txt")
+            return (f.read() if whole else f.read(SAMPLE_BYTES)), whole
+    except OSError:
+        return None, False
 
 
 class InvalidPath(ValueError):
@@ -77,14 +96,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         for path, size, is_dir in partition.entries:
-            content = None
-            if self.content and not is_dir and size <= self.largest:
-                try:
-                    with open(path, "rb") as f:
-                        content = f.read()
-                except OSError:
-                    content = None
-            yield path, PurePath(path).name, size, is_dir, content
+            content, whole = content_of(path, size, self.largest) if self.content and not is_dir else (None, False)
+            yield path, PurePath(path).name, size, is_dir, content, whole
 
 
 class LocalFiles(DataSource):
@@ -102,7 +115,7 @@ class LocalFiles(DataSource):
 
 
 def local_files(spark: SparkSession, path: str, include_folders: bool | str = False, content: bool = False, largest: int = 1 << 30) -> DataFrame:
-    """A files table (lintel.model.FILES) of a folder, with `ord` and, if asked for, `content`. The folder is one that all executors see."""
+    """A files table (lintel.model.FILES) of a folder, with `ord` and, if asked for, `content` and whether it is `whole` (see content_of). The folder is one that all executors see."""
     ship(spark)
     clean, _ = validate_path(path)
     spark.dataSource.register(LocalFiles)
@@ -110,4 +123,36 @@ def local_files(spark: SparkSession, path: str, include_folders: bool | str = Fa
     rows = spark.read.format("lintel_files").options(path=clean, recursive=str(recursive).lower(), content=str(content).lower(), largest=str(largest)).load()
     out = with_derived(rows.withColumn("suffix", suffix_of(F.col("name"))))
     columns = ["path", "name", "display_name", "size", "suffix", "is_archive", "archive_name"]
-    return out.select(*columns, F.monotonically_increasing_id().alias("ord"), "is_dir", *(["content"] if content else []))
+    return out.select(*columns, F.monotonically_increasing_id().alias("ord"), "is_dir", *(["content", "whole"] if content else []))
+
+
+def text_chunks(files: DataFrame, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES, most: int = MOST_BYTES) -> DataFrame:
+    """(path, name, display_name, archive_name, chunk, content, error): files by chunks, each with the last bytes of the one before.
+
+    A file's chunks are rows of their own, so that a large file is many tasks' work and none holds
+    more than a chunk. A file of more than `most` bytes, or that cannot be read, gives an error.
+    """
+    ship(files.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(b.num_rows):
+                part = b.slice(at, 1)
+                path, size, k = part.column(0)[0].as_py(), part.column(4)[0].as_py(), part.column(5)[0].as_py()
+                content, error = None, None
+                try:
+                    if size > most:
+                        raise OSError(f"file too large: {size} bytes (max {most})")
+                    with open(path, "rb") as f:
+                        first = max(0, k * chunk - overlap)
+                        f.seek(first)
+                        content = f.read((k + 1) * chunk - first)
+                except OSError as e:
+                    error = f"Error streaming file '{path}': {e}"
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], part.column(5), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "name", "display_name", "archive_name", "chunk", "content", "error"])
+
+    last = F.when(F.col("size") > most, F.lit(0)).otherwise(F.floor((F.greatest(F.col("size"), F.lit(1)) - 1) / chunk))
+    rows = files.select("path", "name", "display_name", "archive_name", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("chunk"))
+    return rows.repartition(F.hash("path", "chunk")).mapInArrow(run, "path string, name string, display_name string, archive_name string, chunk bigint, content binary, error string")

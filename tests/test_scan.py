@@ -1,5 +1,6 @@
 """Scans of real files: archives and office files are made here."""
 
+import bz2
 import io
 import json
 import tarfile
@@ -76,8 +77,8 @@ def package(tmp_path):
 
 def test_readers(package):
     for name in ("a.zip", "t.tar.gz"):
-        got = list(archive_readers.members_of((package / name).read_bytes(), name, False, 0))
-        assert [(n, s, d) for n, s, d, _ in got] == [("test/", 0, True), ("test/file2", 0, False), ("test/file1.txt", 7, False), ("bin", 10, False), ("test/b c.doc", 11, False)]
+        got = list(archive_readers.members_of((package / name).read_bytes(), name, None))
+        assert [(n, s, d) for n, s, d, *_ in got] == [("test/", 0, True), ("test/file2", 0, False), ("test/file1.txt", 7, False), ("bin", 10, False), ("test/b c.doc", 11, False)]
     assert archive_readers.xlsx_blobs((package / "s.xlsx").read_bytes()) == ["row1 column2 \nuser \n"]
     assert archive_readers.docx_blobs((package / "d.docx").read_bytes()) == ["PAGE 1", "|  :----: |  :----: |\n| Table | 1 |".replace("|  :----: |  :----: |", "|  :----: |  :----: |"), ""]
 
@@ -226,3 +227,178 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["test_name"] for r in spark.table("found").select(F.col("test_name")).collect()} == {"HasNoWhiteSpace", "IsFreeOfKeywords"}
+
+
+def sevenz(members, method="lzma2", solid=True, encoded=False):
+    """A 7z archive by hand: one folder for all members, or one for each."""
+    import lzma
+    import struct
+    import zlib
+
+    def number(n):
+        for k in range(8):
+            if n < 1 << 7 * (k + 1):
+                return bytes([(0xFF00 >> k) & 0xFF | n >> 8 * k]) + (n & (1 << 8 * k) - 1).to_bytes(k, "little")
+        return b"\xff" + n.to_bytes(8, "little")
+
+    def packed(data):
+        if method == "copy":
+            return data, b"\x01\x00"
+        if method == "deflate":
+            c = zlib.compressobj(9, zlib.DEFLATED, -15)
+            return c.compress(data) + c.flush(), b"\x03\x04\x01\x08"
+        if method == "bzip2":
+            return bz2.compress(data), b"\x03\x04\x02\x02"
+        if method == "lzma":
+            return lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 16}]), b"\x23\x03\x01\x01" + number(5) + b"\x5d" + struct.pack("<I", 1 << 16)
+        return lzma.compress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 16}]), b"\x21\x21" + number(1) + b"\x08"
+
+    def streams(parts, at, numbers=None, sizes=()):
+        out = b"\x06" + number(at) + number(len(parts)) + b"\x09" + b"".join(number(len(p)) for p, *_ in parts) + b"\0"
+        out += b"\x07\x0b" + number(len(parts)) + b"\0" + b"".join(b"\x01" + coder for _, coder, _ in parts) + b"\x0c" + b"".join(number(n) for *_, n in parts) + b"\0"
+        if numbers is not None:
+            out += b"\x08\x0d" + b"".join(map(number, numbers)) + (b"\x09" + b"".join(map(number, sizes)) if sizes else b"") + b"\0"
+        return out + b"\0"
+
+    full = [c for _, c in members if c]
+    groups = [full] if solid else [[c] for c in full]
+    parts = [(*packed(b"".join(g)), len(b"".join(g))) for g in groups if g]
+    body = b"".join(p for p, *_ in parts)
+    names = "".join(n.rstrip("/") + "\0" for n, _ in members).encode("utf-16-le")
+    empty = [not c for _, c in members]
+    bits = lambda flags: bytes(sum(f << 7 - k for k, f in enumerate(flags[i : i + 8])) for i in range(0, len(flags), 8))
+    header = b"\x01" + (b"\x04" + streams(parts, 0, [len(g) for g in groups], [len(c) for g in groups for c in g[:-1]]) if parts else b"")
+    header += b"\x05" + number(len(members))
+    if any(empty):
+        files = [not n.endswith("/") for (n, _), e in zip(members, empty, strict=True) if e]
+        header += b"\x0e" + number(len(bits(empty))) + bits(empty) + b"\x0f" + number(len(bits(files))) + bits(files)
+    header += b"\x11" + number(len(names) + 1) + b"\0" + names + b"\0\0"
+    if encoded:
+        small, coder = packed(header)
+        own = b"\x17" + streams([(small, coder, len(header))], len(body))
+        body, header = body + small, own
+    head = struct.pack("<QQI", len(body), len(header), zlib.crc32(header))
+    return b"7z\xbc\xaf\x27\x1c\0\x04" + struct.pack("<I", zlib.crc32(head)) + head + body + header
+
+
+SEVEN = [("test/", b""), ("test/empty", b""), ("test/a.txt", b"the User is here"), ("b c.doc", b"a PASSWORD " * 500), ("bin", b"\0\1\2"), ("z.txt", b"last password")]
+
+
+@pytest.mark.parametrize("method", ["copy", "lzma", "lzma2", "deflate", "bzip2"])
+@pytest.mark.parametrize(("solid", "encoded"), [(True, True), (False, False), (True, False)])
+def test_7z(method, solid, encoded):
+    data = sevenz(SEVEN, method, solid, encoded)
+    got = list(archive_readers.members_of(data, "x.7z", None))
+    assert [(n, s, d) for n, s, d, *_ in got] == [(n, len(c), n.endswith("/")) for n, c in SEVEN]
+    read = {n: c for n, _, _, c, _ in archive_readers.members_of(data, "x.7z", archive_readers.Gate())}
+    assert read == {n: c if c and n != "bin" else None for n, c in SEVEN}
+    few = {n: c for n, _, _, c, _ in archive_readers.members_of(data, "x.7z", archive_readers.Gate(largest=100, budget=45))}
+    assert {n for n, c in few.items() if c} == {"test/a.txt", "z.txt"}
+    for broken in (data[:40], data[: len(data) // 2], b"7z" + data[2:20], data[:32] + bytes(len(data) - 32)):
+        with pytest.raises(ValueError):
+            list(archive_readers.members_of(broken, "x.7z", None))
+
+
+def test_no_7z_members():
+    assert list(archive_readers.members_of(sevenz([]), "x.7z", None)) == []
+
+
+def test_bytes_that_are_no_utf8(spark, tmp_path):
+    (tmp_path / "latin.txt").write_bytes(b"caf\xe9 password")
+    (tmp_path / "utf16.txt").write_bytes("password".encode("utf-16"))
+    (tmp_path / "cut.txt").write_bytes("a User é".encode()[:-1])
+    (tmp_path / "readme.md").write_bytes(b"\xff\xfe latin utf16 cut a")
+    (tmp_path / "a.zip").write_bytes(zipped({"m.txt": b"\xe9t\xe9 User"}))
+    (tmp_path / "x.7z").write_bytes(sevenz(SEVEN))
+    result = scan(local.local_files(spark, str(tmp_path), True, True), CONFIG)
+    got = {(r["content"], r["name"]) for r in result.messages.collect()}
+    assert {("Credentials: 'password'", "latin.txt"), ("Credentials: 'User'", "cut.txt"), ("Credentials: 'User'", "m.txt"), ("Credentials: 'User'", "test/a.txt"), ("Credentials: 'password'", "z.txt")} <= got
+    assert result.warnings.count() == 0 and result.errors.count() == 0
+
+
+def test_keywords_over_the_border_of_chunks(spark, tmp_path):
+    size = local.CHUNK_BYTES
+    (tmp_path / "big.txt").write_bytes(b"x" * (size - 4) + b"PassWord" + b"y" * (2 * size) + b"user" + b"z" * 10)
+    (tmp_path / "none.txt").write_bytes(b"x" * (size + 5))
+    (tmp_path / "big.bin").write_bytes(b"\0" * (size + 5) + b"password")
+    files = local.local_files(spark, str(tmp_path), True, True)
+    assert {r["name"]: (len(r["content"]), r["whole"]) for r in files.collect()} == {n: (local.SAMPLE_BYTES, False) for n in ("big.txt", "none.txt", "big.bin")}
+    result = scan(files, CONFIG, across_files=False)
+    assert sorted((r["content"], r["name"]) for r in result.messages.where("test_name = 'IsFreeOfKeywords'").collect()) == [("Credentials: 'User'", "big.txt"), ("Credentials: 'password'", "big.txt")]
+    assert [(r["filename"], r["reason"]) for r in result.skipped.collect()] == [("big.bin", "Binary file detected")]
+    assert "seems to be binary" in result.log.where("level = 'info'").first()["message"]
+    chunks = local.text_chunks(files.where("name = 'big.txt'"), most=100).collect()
+    assert len(chunks) == 1 and "too large" in chunks[0]["error"]
+
+
+def test_a_bomb_is_not_unpacked(spark, tmp_path):
+    """Members far beyond the budget: no more than it is held, in batches of a few MB."""
+    import tracemalloc
+
+    one = b"a " * (5 << 20)
+    data = zipped({f"{i}.txt": one for i in range(40)})
+    tracemalloc.start()
+    read = [c for _, _, _, c, _ in archive_readers.members_of(data, "x.zip", archive_readers.Gate(budget=30 << 20)) if c is not None]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(read) == 2 and peak < 80 << 20
+    (tmp_path / "x.zip").write_bytes(data)
+    rows = archive_readers.read_members(local.local_files(spark, str(tmp_path), True, True), archive_readers.Gate())
+    assert rows.where("content is not null").count() == 5
+
+
+def test_a_member_that_cannot_be_read_is_told_of(spark, tmp_path):
+    data = bytearray(zipped({"good.txt": b"a User", "bad.txt": b"password " * 50}))
+    at = data.index(b"bad.txt") + 7
+    data[at : at + 10] = b"\xff" * 10
+    (tmp_path / "a.zip").write_bytes(bytes(data))
+    result = scan(local.local_files(spark, str(tmp_path), True, True), CONFIG, across_files=False)
+    assert [r["name"] for r in result.messages.where("test_name = 'IsArchiveFreeOfKeywords'").collect()] == ["good.txt"]
+    (warning,) = [r["message"] for r in result.warnings.collect()]
+    assert "bad.txt" in warning
+
+
+def test_registries_drive_the_scan(spark, package, monkeypatch):
+    from lintel.operators import checks
+    from lintel.plans import scan as plan
+
+    monkeypatch.setitem(checks.NAME_CHECKS, "HasNoX", lambda name, _: F.array_compact(F.array(F.when(F.contains(name, F.lit("x")), F.lit("has an x")))))
+    monkeypatch.setattr(checks, "BY_FILE", ["HasNoX"])
+    monkeypatch.setattr(checks, "BY_REPOSITORY", ["HasReadme"])
+    monkeypatch.setattr(checks, "BY_MEMBER_NAME", [])
+    monkeypatch.setattr(checks, "BY_MEMBER_CONTENT", ["Loud"])
+    loud = ["'Loud' AS test_name", "'read' AS content", "archive_path AS path", "member AS name", "member AS display_name", "archive_label AS archive_name"]
+    monkeypatch.setitem(plan.MEMBER_CHECKS, "Loud", lambda members, _: checks.as_messages(members.where("content is not null").selectExpr(*loud)))
+    result = scan(local.local_files(spark, str(package), True, True), CONFIG)
+    got = {(r["test_name"], r["name"]) for r in result.messages.collect()}
+    assert {t for t, _ in got} == {"HasNoX", "Loud"} and ("HasNoX", "s.xlsx") in got
+    told = []
+    n = plan.with_progress(result, lambda *x: told.append(x))
+    assert n == result.messages.count() and told[0][0] == 0 and told[-1][0] == told[-1][1] == told[0][1] and [x[0] for x in told] == sorted(x[0] for x in told)
+
+
+def test_sheets_come_in_the_workbooks_order():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    sheet = lambda x: f'<worksheet {ns}><sheetData><row><c t="str"><v>{x}</v></c></row></sheetData></worksheet>'.encode()
+    parts = {
+        "xl/workbook.xml": f'<workbook {ns}><sheets><sheet name="b" r:id="r2"/><sheet name="a" r:id="r1"/></sheets></workbook>'.encode(),
+        "xl/_rels/workbook.xml.rels": b'<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": sheet("one"), "xl/worksheets/sheet2.xml": sheet("two"), "xl/worksheets/sheet3.xml": sheet("three"),
+    }
+    assert archive_readers.xlsx_blobs(zipped(parts)) == ["two \n", "one \n", "three \n"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from lintel.session import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Session())
