@@ -1,8 +1,12 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer: normaliser, pieces and byte fallback, composed with each input.
 
-The pieces are a trie with an output at the end of each piece; the byte fallback has an arc for each
-character that is no piece. Composed with a text they are a lattice: its states are places in the
-text, its arcs pieces. The tropical-semiring shortest path through it are the text's ids.
+The normaliser is a chain of transducers, each of which reads characters and writes characters:
+rules (the longest first), then spaces (squeezed, the prefix, and what stands for a space). They
+are composed state by state, as inputs come to need it, to one with a single transition a
+character. The pieces are a trie with an output at the end of each piece, and from there back to
+its beginning; the byte fallback has, for each character that is no piece, an arc that writes its
+bytes. Composed with a text they are a lattice: its states are places in the normalised text, its
+arcs pieces and fallbacks. The tropical-semiring shortest path through it are the text's ids.
 
 For a unigram model an arc weighs what its piece's score is below 0, and the path is Viterbi's. For
 a BPE model, whose result is no sum of scores, the pieces are composed with a second transducer that
@@ -11,6 +15,10 @@ u, v, and infinity otherwise. A sequence of pieces is the BPE result of its stri
 that holds for all neighbours (merges never cross the border of pieces that stay apart, so each
 pair goes through the same merges alone as in the whole). So exactly one path is of finite weight,
 and each place in a text that it can be cut at has exactly one last piece.
+
+Texts of a column share their words: a text is cut before each run of spaces, as no piece goes on
+from another character into a space, and each distinct chunk is composed and solved once, many of
+them by the same steps together.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -36,8 +45,10 @@ _UNIGRAM, _BPE = 1, 2
 #: Below the least score of a piece: what a character that is no piece weighs in a unigram model.
 _PENALTY = 10.0
 #: Chunks of up to so many characters are solved together.
-_TOGETHER = 24
-_DENSE = 128
+_TOGETHER = 40
+#: Columns of the trie's table: frequent characters, those of Latin scripts first.
+_DENSE = 256
+_SLOT_BITS = 20
 
 
 def _fields(data: bytes):
@@ -90,6 +101,79 @@ def charsmap_rules(blob: bytes) -> dict[str, str]:
     return rules
 
 
+class Rules:
+    """The transducer of rewriting rules: its states are what has been read and may yet become a longer rule's left side."""
+
+    start = ""
+
+    def __init__(self, rules: dict[str, str]):
+        self.rules = rules
+        self.open = {k[:n] for k in rules for n in range(1, len(k))}
+
+    def _settle(self, text: str, ended: bool) -> tuple[str, str]:
+        """(written, state): rules from the left, the longest first, until what is left may become a longer one."""
+        out = ""
+        while text:
+            if not ended and text in self.open:
+                return out, text
+            n = next((n for n in range(len(text), 0, -1) if text[:n] in self.rules), 0)
+            out, text = (out + self.rules[text[:n]], text[n:]) if n else (out + text[0], text[1:])
+        return out, ""
+
+    def step(self, state: str, char: str) -> tuple[str, str]:
+        return self._settle(state + char, False)
+
+    def end(self, state: str) -> str:
+        return self._settle(state, True)[0]
+
+
+class Spaces:
+    """The transducer of spaces: states are the beginning, within a text, and, where spaces are squeezed, after some of them."""
+
+    start = "beginning"
+
+    def __init__(self, prefix: bool, squeeze: bool, space: str):
+        self.prefix, self.squeeze, self.space = space * prefix, squeeze, space
+
+    def step(self, state: str, char: str) -> tuple[str, str]:
+        if char != " ":
+            return (self.prefix if state == "beginning" else self.space if state == "after" else "") + char, "within"
+        if self.squeeze:
+            return "", "beginning" if state == "beginning" else "after"
+        return (self.prefix if state == "beginning" else "") + self.space, "within"
+
+    def end(self, state: str) -> str:
+        return ""
+
+
+class Composed:
+    """One transducer that does what a and then b do; transitions are made when first needed, and kept."""
+
+    def __init__(self, a, b):
+        self.a, self.b, self.start = a, b, (a.start, b.start)
+        self.known: dict[tuple, tuple[str, tuple]] = {}
+
+    def _through(self, text: str, state) -> tuple[str, object]:
+        out = ""
+        for c in text:
+            more, state = self.b.step(state, c)
+            out += more
+        return out, state
+
+    def step(self, state: tuple, char: str) -> tuple[str, tuple]:
+        if (found := self.known.get((state, char))) is None:
+            written, one = self.a.step(state[0], char)
+            out, two = self._through(written, state[1])
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            self.known[state, char] = found = out, (one, two)
+        return found
+
+    def end(self, state: tuple) -> str:
+        out, two = self._through(self.a.end(state[0]), state[1])
+        return out + self.b.end(two)
+
+
 class Transducer:
     """A compiled model. weights: scores by id. `encode` and `decode` are for one text; ChunkEncoder and decode_many for columns."""
 
@@ -115,7 +199,6 @@ class Transducer:
         self.byte_fallback = bool(trainer.get(35, 0))
         self.rules = charsmap_rules(normaliser.get(2, b""))
         self.prefix, self.squeeze, self.escape = (bool(normaliser.get(k, 1)) for k in (3, 4, 5))
-        self._rule = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))) if self.rules else None
         self.vocabulary = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _NORMAL}
         self.unknown = self.kinds.index(_UNKNOWN)
         byte = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
@@ -125,20 +208,24 @@ class Transducer:
         space = SPACE if self.escape else " "
         #: No piece goes on from another character into a space: texts may be cut before spaces.
         self.cuttable = not any(re.search(f"[^{space}]{space}", p) for p in self.vocabulary)
+        self.normaliser = Composed(Rules(self.rules), Spaces(self.prefix, self.squeeze, space))
+        #: The byte fallback: what its arc for a character writes.
+        self.fallback: dict[str, list[int]] = {}
         self._pairs: dict[int, bool] = {}
+        self._slot_keys, self._slots = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, bool)
         self._compile()
 
     # The normaliser.
 
     def normalise(self, text: str) -> str:
-        """Rules (longest first, from the left), squeezed spaces, the prefix, and spaces as the model has them."""
-        if self._rule:
-            text = self._rule.sub(lambda m: self.rules[m[0]], text)
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
+        """What the normaliser writes when it reads the text."""
+        if not self.rules and not self.squeeze:  # each character by itself
+            return (" " * (self.prefix and text != "") + text).replace(" ", SPACE if self.escape else " ")
+        out, step, state = [], self.normaliser.step, self.normaliser.start
+        for c in text:
+            more, state = step(state, c)
+            out.append(more)
+        return "".join(out) + self.normaliser.end(state)
 
     # One text's lattice and its shortest path.
 
@@ -220,7 +307,10 @@ class Transducer:
             if v >= 0:
                 out.append(v)
             elif self.bytes:
-                out.extend(self.bytes[b] for b in chr(-3 - v).encode("utf-8", "replace"))
+                c = chr(-3 - v)
+                if c not in self.fallback:
+                    self.fallback[c] = [self.bytes[b] for b in c.encode("utf-8", "replace")]
+                out.extend(self.fallback[c])
             elif not gone or self.bpe:
                 out.append(self.unknown)
             gone = v < 0
@@ -250,27 +340,45 @@ class Transducer:
                     self.finals.append(-1)
                 node = to
             self.finals[node] = i
-        dense = sorted(count, key=lambda c: (-count[c], c))[: _DENSE - 1]
+        dense = sorted(count, key=lambda c: (c > "\u024f" and c != SPACE, -count[c], c))[: _DENSE - 1]
         self.number = np.zeros(0x110000, np.uint8)
         for k, c in enumerate(dense):
             self.number[ord(c)] = k + 1
-        self.table = np.full((len(self.finals) + 1, _DENSE), -1, np.int32)
+        #: Characters of any piece; nothing is merged over another one.
+        self.alphabet = np.zeros(0x110000, bool)
+        self.alphabet[[ord(c) for c in count]] = True
+        self.foreign = re.compile("([^" + "".join(map(re.escape, count)) + "]+)") if count else re.compile("(.+)", re.DOTALL)
+        self.table = np.full((len(self.finals) + 1, _DENSE), len(self.finals), np.uint16 if len(self.finals) < 65535 else np.int32)
         for (node, c), to in self.arcs.items():
             if k := self.number[ord(c)]:
                 self.table[node, k] = to
         self.final = np.array([*self.finals, -1], np.int32)
 
     def solve(self, chunks: list[str]) -> list[bytes]:
-        """Ids of normalised chunks, as bytes of int32.
-
-        Chunks of up to _TOGETHER frequent characters go through the same steps as in `path`, all of
-        one length together; the others one by one.
-        """
+        """Ids of normalised chunks, as bytes of int32. Those of BPE are cut at characters of no piece, and each distinct part is solved once."""
+        if not self.bpe:
+            return [np.array(self._ids(self.path(c)), np.int32).tobytes() for c in chunks]
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        foreign = np.concatenate([[0], np.cumsum(~self.alphabet[chars])])
+        ends = np.cumsum(sizes)
+        cut = {int(k): self.foreign.split(chunks[k]) for k in np.flatnonzero(foreign[ends] > foreign[ends - sizes])}
+        parts = list(dict.fromkeys([c for k, c in enumerate(chunks) if k not in cut] + [x for some in cut.values() for x in some[::2] if x]))
+        ids = dict(zip(parts, self._solved(parts), strict=True))
+        ids[""] = b""
+        for some in cut.values():
+            for x in some[1::2]:
+                if x not in ids:
+                    ids[x] = np.array(self._ids([-3 - ord(c) for c in x]), np.int32).tobytes()
+        return [ids[c] if k not in cut else b"".join([ids[x] for x in cut[k]]) for k, c in enumerate(chunks)]
+
+    def _solved(self, chunks: list[str]) -> list[bytes]:
+        """Chunks of up to _TOGETHER frequent characters go through the same steps as in `path`, all of one length together; the others one by one."""
         out: list[bytes] = [b""] * len(chunks)
         alone = []
         by_length: dict[int, list[int]] = {}
         for k, c in enumerate(chunks):
-            (by_length.setdefault(len(c), []) if 0 < len(c) <= _TOGETHER and self.bpe else alone).append(k)
+            (by_length.setdefault(len(c), []) if 0 < len(c) <= _TOGETHER else alone).append(k)
         for n, where in by_length.items():
             for at in range(0, len(where), 16384):
                 part = where[at : at + 16384]
@@ -288,30 +396,51 @@ class Transducer:
             out[k] = np.array(self._ids(self.path(chunks[k])), np.int32).tobytes()
         return out
 
+    def _join_many(self, keys: np.ndarray) -> np.ndarray:
+        """_joins of (u + 1) * pieces + v, through a direct-mapped table of the pairs met last."""
+        slot = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+        joins = self._slots[slot]
+        missing = np.flatnonzero(self._slot_keys[slot] != keys)
+        if len(missing):
+            own, which = np.unique(keys[missing], return_inverse=True)
+            size = len(self.pieces)
+            found = np.fromiter((self._joins(k // size - 1, k % size) for k in own.tolist()), bool, len(own))
+            joins[missing] = found[which]
+            self._slot_keys[slot[missing]] = keys[missing]
+            self._slots[slot[missing]] = joins[missing]
+        return joins
+
     def _together(self, chars: np.ndarray) -> list[bytes | None]:
         """BPE of rows of characters that the table has; None where a character is needed that is no piece."""
         rows, n = chars.shape
-        ends: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
+        nowhere = len(self.finals)
+        ends: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
         for at in range(n):
-            node = np.zeros(rows, np.int32)
+            own, node = np.arange(rows), np.zeros(rows, np.int64)
             for to in range(at, min(n, at + self.longest)):
-                node = self.table[node, chars[:, to]]
-                if not (node >= 0).any():
+                node = self.table[node, chars[own, to]]
+                go = np.flatnonzero(node != nowhere)
+                if not len(go):
                     break
-                ends[to + 1].append((at, self.final[node]))  # node -1 is the last row: no output
+                if len(go) < len(own):
+                    own, node = own[go], node[go]
+                piece = self.final[node]
+                some = np.flatnonzero(piece >= 0)
+                ends[to + 1].append((at, own[some], piece[some]))
         last = np.full((rows, n + 1), -9, np.int64)
         back = np.zeros((rows, n + 1), np.int32)
         last[:, 0] = -1
         size = len(self.pieces)
         for end in range(1, n + 1):
-            for at, piece in ends[end]:
-                r = np.flatnonzero((piece >= 0) & (last[:, at] > -9))
-                if not len(r):
+            for at, r, piece in ends[end]:
+                before = last[r, at]
+                there = np.flatnonzero(before > -9)
+                if not len(there):
                     continue
-                keys, which = np.unique((last[r, at] + 1) * size + piece[r], return_inverse=True)
-                joins = np.fromiter((self._joins(k // size - 1, k % size) for k in keys.tolist()), bool, len(keys))
-                r = r[joins[which]]
-                last[r, end], back[r, end] = piece[r], at
+                r, piece = r[there], piece[there]
+                joins = self._join_many((before[there] + 1) * size + piece)
+                r = r[joins]
+                last[r, end], back[r, end] = piece[joins], at
         out: list[bytes | None] = []
         got = np.full((rows, n), -1, np.int32)
         place, at = np.full(rows, n), np.full(rows, n)
@@ -325,25 +454,25 @@ class Transducer:
         return out
 
     def chunk_encoder(self) -> ChunkEncoder:
-        """For columns of texts. A text is cut at single spaces; one that the normaliser changes otherwise is done by itself."""
+        """For columns of texts. A text is cut before runs of spaces; one that rules may change, or with a ▁ of its own, is done by itself."""
         space = SPACE if self.escape else " "
-        if not self.cuttable or self.rules or not self.prefix:
-            return ChunkEncoder(self.solve, self.encode, r"", space, space)
-        return ChunkEncoder(self.solve, self.encode, r"  |^ | $|▁", space, space)
+        return ChunkEncoder(self.solve, self.encode, "▁" if self.cuttable and not self.rules and self.prefix else "", space, self.squeeze)
 
     # Decoding.
 
+    @cached_property
+    def outputs(self) -> pa.Array:
+        """What each id writes when decoding: a piece with spaces for ▁, a byte, nothing for controls, ` ⁇ ` for the unknown."""
+        byte = {i: b for b, i in enumerate(self.bytes)}
+        return pa.array([bytes([byte[i]]) if k == _BYTE else b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))], pa.binary())
+
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces, spaces for ▁, bytes as UTF-8 (what is not, is replaced), unknown as ` ⁇ `; the prefix goes."""
-        data = b"".join(bytes([self.bytes.index(i)]) if self.kinds[i] == _BYTE else b"" if self.kinds[i] == _CONTROL else " ⁇ ".encode() if self.kinds[i] == _UNKNOWN else self.pieces[i].replace(SPACE, " ").encode() for i in ids)
-        return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
+        """The text of ids: their outputs as UTF-8 (what is not, is replaced); the prefix goes."""
+        return self.decode_many(np.array([0, len(ids)]), np.array(ids, np.int64))[0].as_py()
 
     def decode_many(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
         """decode for a column."""
-        byte = {i: b for b, i in enumerate(self.bytes)}
-        data = [bytes([byte[i]]) if k == _BYTE else b"" if k == _CONTROL else " ⁇ ".encode() if k == _UNKNOWN else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
-        parts = pa.array(data, pa.binary()).take(pa.array(ids))
-        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), parts), b"")
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), self.outputs.take(pa.array(ids))), b"")
         if self.prefix:
             whole = pc.replace_substring_regex(whole, r"\A ", "", max_replacements=1)
         try:
@@ -404,7 +533,10 @@ def decode_pieces(rows: DataFrame, ids: str = "ids", model_path: str = MODEL_PAT
         import pandas as pd
 
         t, _ = compiled(shared.value)
-        return pd.Series([None if x is None else t.decode([int(i) for i in x]) for x in lists], dtype=object)
+        sizes = np.fromiter((0 if x is None else len(x) for x in lists), np.int64, len(lists))
+        flat = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)]).astype(np.int64)
+        texts = t.decode_many(np.concatenate([[0], np.cumsum(sizes)]), flat).to_pylist()
+        return pd.Series([None if x is None else text for x, text in zip(lists, texts, strict=True)], dtype=object)
 
     return rows.withColumn(out, text(F.col(ids)))
 

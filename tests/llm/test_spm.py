@@ -31,8 +31,8 @@ def test_bpe_like_the_library(bpe):
     assert t.decode_many(offsets, ids).to_pylist() == [library.decode(library.encode(x)) for x in [*SOME, ""]]
 
 
-@settings(max_examples=150, deadline=None)
-@given(x=st.one_of(st.text(max_size=40), st.text(alphabet="abcdest ▁nrio,.é\n", max_size=60)))
+@settings(max_examples=300, deadline=None)
+@given(x=st.one_of(st.text(max_size=40), st.text(alphabet="abcdest ▁nrio,.é\n", max_size=60), st.text(alphabet="ab  \n", max_size=20), st.text(alphabet="ʀaḅ 日é5\x00ż", max_size=20)))
 def test_bpe_on_any_text(bpe, x):
     t, library = bpe
     expected = library.encode(x)
@@ -77,6 +77,64 @@ def test_bpe_of_another_model():
         assert t.encode(x) == library.encode(x), x
 
 
+def test_columns_with_runs_of_spaces(bpe):
+    """Whatever the spaces, a column gives what its texts give one by one, squeezed or not."""
+    _, library = bpe
+    texts = ["a  b", " a", "a ", "  ", " ", "", None, "   a   b\n  c  ", "a b", "\n\n  x", "x  \n"]
+    offsets, ids = bpe[0].chunk_encoder().encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library.encode(x or "") for x in texts]
+    pieces = [("▁", -2.0), ("a", -3.1), ("b", -3.2), ("ab", -4.9), ("▁a", -4.25), ("▁▁", -5.0)]
+    for kind in (1, 2):
+        for squeeze in (False, True):
+            data = model(pieces, kind, True, squeeze)
+            t, library = spm.Transducer(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+            offsets, ids = t.chunk_encoder().encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library.encode(x or "") for x in texts]
+
+
+def test_double_spaces_are_not_slow(bpe):
+    import time
+
+    t, _ = bpe
+    rng = __import__("random").Random(0)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    plain = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(150)]
+    wide = [x.replace(" ", "  ", 1) + " " for x in plain]
+    took = []
+    for texts in (plain, wide):
+        encoder = t.chunk_encoder()
+        encoder.encode(pa.array(texts))
+        began = time.process_time()
+        for _ in range(5):
+            encoder.encode(pa.array(texts))
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.05
+
+
+def test_composed_normaliser_against_rewriting_by_hand():
+    import itertools
+
+    rules = {"a": "x", "ab": "", "abc": "y ", "ca": " ", "bb": "b"}
+    for prefix, squeeze in itertools.product((False, True), (False, True)):
+        machine = spm.Composed(spm.Rules(rules), spm.Spaces(prefix, squeeze, "_"))
+        for n in range(7):
+            for text in map("".join, itertools.product("abc ", repeat=n)) if n < 6 else ["abcabca", "ababcab", "  a  bb cab "]:
+                at, expected = 0, ""
+                while at < len(text):
+                    k = next((k for k in (3, 2, 1) if text[at : at + k] in rules and at + k <= len(text)), 0)
+                    expected, at = (expected + rules[text[at : at + k]], at + k) if k else (expected + text[at], at + 1)
+                if squeeze:
+                    expected = " ".join(expected.split(" ")).strip(" ")
+                    while "  " in expected:
+                        expected = expected.replace("  ", " ")
+                expected = ((" " if prefix and expected else "") + expected).replace(" ", "_")
+                out, state = "", machine.start
+                for c in text:
+                    more, state = machine.step(state, c)
+                    out += more
+                assert out + machine.end(state) == expected, text
+
+
 def test_charsmap():
     """A double array by hand: A -> a, AB -> xy."""
     units = [0] * 512
