@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.chunks import ChunkEncoder
 from lintel.llm.common import ship
 
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -104,12 +103,11 @@ class Dac:
         return value
 
 
-_ENCODERS: dict[int, ChunkEncoder] = {}
+_ENCODERS: dict[int, object] = {}
 
 
-def byte_bpe(ranks_file: bytes, pattern: str = PATTERN) -> ChunkEncoder:
-    """The tokenizer of a file of ranks. It never joins what is before a space with the space, so texts are cut there;
-    texts in which a space is next to other white space are tokenized whole. One a Python worker."""
+def byte_bpe(ranks_file: bytes, pattern: str = PATTERN):
+    """The tokenizer of a file of ranks: ids of a whole text, as an array. One a Python worker."""
     key = hash((ranks_file, pattern))
     if key not in _ENCODERS:
         import tiktoken
@@ -117,7 +115,7 @@ def byte_bpe(ranks_file: bytes, pattern: str = PATTERN) -> ChunkEncoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(lambda chunks: [np.array(own.encode_ordinary(c), np.int32).tobytes() for c in chunks], own.encode_ordinary, r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] ", "", " ")
+        _ENCODERS[key] = lambda text: own.encode_to_numpy(text, disallowed_special=())
     return _ENCODERS[key]
 
 
@@ -131,16 +129,13 @@ def token_codes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ran
     shared = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(batches):
-        encoder = byte_bpe(shared.value)
+        encode = byte_bpe(shared.value)
         for b in batches:
-            texts = b.column(1).cast(pa.string())
-            for at in range(0, b.num_rows, 2000):
-                part = texts.slice(at, 2000)
-                offsets, ids = encoder.encode(part)
-                gone = part.is_null().to_numpy(zero_copy_only=False)
-                codes = [None if no else encode_dac(ids[lo:hi], widths) for no, lo, hi in zip(gone, offsets[:-1], offsets[1:], strict=True)]
-                number = pa.array(np.diff(offsets), mask=gone)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 2000), number, pa.array(codes, pa.binary())], names=["doc_id", "n_tokens", "codes"])
+            for at in range(0, b.num_rows, 256):
+                ids = [None if x is None else encode(x) for x in b.column(1).slice(at, 256).to_pylist()]
+                number = pa.array([None if x is None else len(x) for x in ids], pa.int64())
+                codes = pa.array([None if x is None else encode_dac(x, widths) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), number, codes], names=["doc_id", "n_tokens", "codes"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, codes binary")
 
