@@ -1,4 +1,11 @@
-"""A corpus made ready for training: toxic documents out, boilerplate lines out, one of each group of near copies, packed sequences."""
+"""A corpus made ready for training: toxic documents out, boilerplate lines out, one of each group of near copies, packed sequences.
+
+Rows of documents that no stage has a reason to drop go through all of them: null and empty texts
+are not toxic, have no lines, are near to nothing, and are packed as pieces of size 0 without a bin;
+null ids stay. Rows that repeat a doc_id are scored and cut each, and one of them stays as near
+copies of each other do. Columns beside those of documents are carried along to the packing, which
+gives its own. Very long texts are handled whole. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintel.llm.common import fresh_dir
+from lintel.llm.common import delete_dir, fresh_dir
 from lintel.llm.line_dedup import dedup_lines
 from lintel.llm.packing import pack
 from lintel.llm.simhash import dedup
@@ -45,10 +52,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's result over the documents of sf_dir. What each other stage keeps is written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{fresh_dir(spark, 'pipeline')}/{name}"
+    """The last stage's result over the documents of sf_dir.
+
+    What each stage keeps is written as Parquet to the shared folder and read again; a stage's
+    input goes once its result is there, so that of a run the result alone stays.
+    """
+    docs, root, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_dir(spark, "pipeline"), None
+    for name, stage in STAGES:
+        path = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            delete_dir(spark, last)
+        last = path
+    return docs
