@@ -5,7 +5,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from lintel.llm import line_dedup, packing, simhash, toxicity
-from tests.llm.helpers import DOCS, rows
+from tests.llm.helpers import CLASHING, DOCS, awkward, empty, rows
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_packing import check
 from tests.llm.test_simhash import groups
@@ -18,7 +18,7 @@ def test_stages(spark, tmp_path):
     docs += [(500 + i, docs[i][1] + " more", *docs[i][2:]) for i in range(30)] + [(600, None, "en", "s", None), (601, "", "en", "s", 0)]
     spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    stages, held = dict(corpus_pipeline.STAGES), {}
+    held = {}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_dedup", "packing"]
     at = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES:
@@ -47,4 +47,30 @@ def test_stages(spark, tmp_path):
     check(held["simhash_dedup"], packed, packing.CAPACITY)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert rows(whole, "doc_id", "piece", "size") == sorted(((r["doc_id"], r["piece"], r["size"]) for r in packed), key=repr)
-    assert stages
+
+
+def run(spark, at, docs, labels=()):
+    docs.write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    return corpus_pipeline.run(spark, str(at))
+
+
+def test_empty_tables(spark, tmp_path):
+    assert run(spark, tmp_path, empty(spark)).collect() == []
+
+
+def test_awkward_rows_and_other_columns(spark, tmp_path):
+    rows_ = awkward(spark, [(40 + i, f"head\nbody {i} " + " ".join(f"w{i}x{k}" for k in range(30)), "en", f"s{i}", 5) for i in range(4)])
+    more = CLASHING.removeprefix(DOCS + ", ").split(", ")
+    for c in more:
+        name, kind = c.rsplit(" ", 1)
+        rows_ = rows_.selectExpr("*", f"CAST(NULL AS {kind}) AS {name}")
+    got = run(spark, tmp_path, rows_)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    # Null, empty and blank texts and the null id go through. The two rows of doc_id 1 are two of five pages with the same
+    # lines, which are cut; one of them stays.
+    assert set(by) == {None, 1, 2, 3, 4, 5, 6, 40, 41, 42, 43} and len(by[1]) == 1
+    assert {k for k, v in by.items() if all(r["bin"] is None for r in v)} == {1, 2, 3}
+    assert sum(r["size"] for r in by[5]) == 200_000 and len(by[5]) == -(-200_000 // packing.CAPACITY)
