@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
@@ -98,14 +99,51 @@ def analyze(spark: SparkSession, config: Config, server: ServerConfig, body: byt
         raise Refused(500, "format_error", f"Failed to format results: {e}") from e
 
 
-def make_server(spark: SparkSession, config: Config, server: ServerConfig = ServerConfig(), host: str = "127.0.0.1", port: int = 0, run: Callable[..., str] = analyze) -> ThreadingHTTPServer:
+#: A request is to be read, and its answer written, in so many seconds; a server that stops waits so long for requests under way.
+READ_SECONDS, WRITE_SECONDS, DRAIN_SECONDS = 30, 300, 30
+
+
+class _Server(ThreadingHTTPServer):
+    """Knows how many requests are under way."""
+
+    def __init__(self, *args) -> None:  # noqa: ANN002
+        super().__init__(*args)
+        self.under_way, self.changed = 0, threading.Condition()
+
+    @contextmanager
+    def counted(self) -> Iterator[None]:
+        with self.changed:
+            self.under_way += 1
+        try:
+            yield
+        finally:
+            with self.changed:
+                self.under_way -= 1
+                self.changed.notify_all()
+
+
+def stop(server: _Server, seconds: float = DRAIN_SECONDS) -> bool:
+    """Take no more requests, wait for those under way, and close; whether all of them ended in time."""
+    server.shutdown()
+    with server.changed:
+        ended = server.changed.wait_for(lambda: server.under_way == 0, seconds)
+    server.server_close()
+    return ended
+
+
+def make_server(spark: SparkSession, config: Config, server: ServerConfig = ServerConfig(), host: str = "127.0.0.1", port: int = 0, run: Callable[..., str] = analyze) -> _Server:
     """GET /health, POST /api/v1/analyze."""
 
     class Handler(BaseHTTPRequestHandler):
-        timeout = 300
+        timeout = READ_SECONDS
+
+        def handle_one_request(self) -> None:
+            with self.server.counted():
+                super().handle_one_request()
 
         def _answer(self, status: int, text: str) -> None:
             data = text.encode()
+            self.connection.settimeout(WRITE_SECONDS)
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
             self.send_header("Content-Length", str(len(data)))
@@ -131,7 +169,7 @@ def make_server(spark: SparkSession, config: Config, server: ServerConfig = Serv
         def log_message(self, *args) -> None:  # noqa: ANN002
             pass
 
-    return ThreadingHTTPServer((host, port), Handler)
+    return _Server((host, port), Handler)
 
 
 def serve_in_thread(server: ThreadingHTTPServer) -> threading.Thread:

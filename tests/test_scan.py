@@ -402,3 +402,24 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(Session())
+
+
+def test_a_server_that_stops_waits_for_requests_under_way():
+    import threading
+    import time
+
+    begun, answers = threading.Event(), []
+
+    def slow(*_):
+        begun.set()
+        time.sleep(0.5)
+        return '{"ok": 1}'
+
+    server = service.make_server(None, CONFIG, run=slow)
+    service.serve_in_thread(server)
+    request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/v1/analyze", b"{}", {"Authorization": "Bearer t"})
+    t = threading.Thread(target=lambda: answers.append(urllib.request.urlopen(request).read()))
+    t.start()
+    assert begun.wait(5) and service.stop(server, 5)
+    t.join(5)
+    assert answers == [b'{"ok": 1}']
