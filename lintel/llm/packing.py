@@ -15,10 +15,13 @@ from lintel.llm.common import checkpointed, ship
 
 #: Bytes of a training sequence.
 CAPACITY = 8192
-_ITEMS = "size long, gap boolean, bin string, doc_id long, occurrence int, piece int"
+_ITEMS = "size long, gap boolean, bin string, doc_id long, occurrence long, piece int"
 _NAMES = ["size", "gap", "bin", "doc_id", "occurrence", "piece"]
-#: Rows of a range, about.
-_RANGE_ROWS = 200_000
+#: Rows of a range, about, and ranges at most (a row of each goes to the driver).
+_RANGE_ROWS = 1 << 14
+_MOST_RANGES = 1 << 13
+#: Rows of one id and size that are told apart together.
+_ALIKE = 1 << 20
 
 
 def pieces(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = CAPACITY) -> DataFrame:
@@ -29,7 +32,11 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = C
     """
     n = F.octet_length("text") if size is None else size
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long").alias("n"))
-    rows = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")))
+    # Rows of one id and size are alike: they are counted, which takes a hot id (null, say) to one row a size before it is shuffled by id.
+    rows = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.withColumn("before", F.sum("c").over(Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(_ALIKE).cast("long")))).hint("rebalance", "doc_id", "n", "k")
+    rows = rows.select("doc_id", "n", F.explode(F.sequence(F.col("before") + F.col("k") + 1, F.col("before") + F.least(F.col("k") + _ALIKE, F.col("c")))).alias("occurrence"))
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1).cast("int")
     rows = rows.select("doc_id", "occurrence", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
@@ -40,14 +47,14 @@ def _name(b: str = ""):
     return F.concat_ws(":", F.coalesce(F.col(f"{b}doc_id").cast("string"), F.lit("null")), f"{b}occurrence", f"{b}piece")
 
 
-def _sweep(batches):
+def _sweep(batches, capacity: int | None = None):
     """Best fit decreasing within one range: rows come by size downwards, gaps before documents of their size.
 
     A document takes the smallest gap that holds it; what remains of the gap is a gap again, for
-    this range's smaller documents too. Out: what was placed, what waits, what gaps are left and
-    how the waiting documents and left gaps rank within the range (documents downwards, gaps upwards).
-    A rest that is smaller than the range's last row might not hold a later range's document: it
-    has no rank and waits for the next superstep.
+    this range's smaller documents too. Given a capacity, a document that no gap holds opens a bin;
+    else it waits. Out: what was placed, what waits, what gaps are left and how the left gaps rank
+    within the range, upwards. A rest that is smaller than the range's last row might not hold a
+    later range's document: it has no rank and waits for the next superstep.
 
     The rows stay in their columns; a gap is one number, its size and then its row.
     """
@@ -59,16 +66,18 @@ def _sweep(batches):
     gaps = array("q")
     waiting, placed, places = array("i"), array("i"), array("i")
     n = 0
-    for k, (n, gap) in enumerate(zip(rows.column(0).to_numpy(), rows.column(1).to_numpy(), strict=True)):
-        n = int(n)
+    for k, (n, gap) in enumerate(zip(rows.column(0).to_numpy().tolist(), rows.column(1).to_numpy().tolist(), strict=True)):
         if gap:
             insort(gaps, n << 32 | k)
             continue
         at = bisect_left(gaps, n << 32)
-        if at == len(gaps):
+        if at < len(gaps):
+            room, where = divmod(gaps.pop(at), 1 << 32)
+        elif capacity is None:
             waiting.append(k)
             continue
-        room, where = divmod(gaps.pop(at), 1 << 32)
+        else:
+            room, where = capacity, k
         placed.append(k)
         places.append(where)
         if room > n:
@@ -81,33 +90,39 @@ def _sweep(batches):
 
     left, small = np.frombuffer(gaps, np.int64), bisect_left(gaps, n << 32)
     took, wait = np.frombuffer(placed, np.int32), np.frombuffer(waiting, np.int32)
-    zeros = np.zeros(max(len(took), small), np.int64)
+    zeros = np.zeros(max(len(took), len(wait), small), np.int64)
     yield from batch("placed", rows.take(pa.array(took)).combine_chunks(), zeros[: len(took)], bin=rows.column("bin").take(pa.array(np.frombuffer(places, np.int32))).combine_chunks())
-    yield from batch("doc", rows.take(pa.array(wait)).combine_chunks(), np.arange(len(wait)))
+    yield from batch("doc", rows.take(pa.array(wait)).combine_chunks(), zeros[: len(wait)])
     for what, part, rank in (("rest", left[:small], zeros[:small]), ("gap", left[small:], np.arange(len(left) - small))):
-        yield from batch(what, rows.take(pa.array(part & 0xFFFFFFFF)).combine_chunks(), rank, size=pa.array(part >> 32))
+        own = rows.take(pa.array(part & 0xFFFFFFFF)).combine_chunks()
+        blank = {c: pa.nulls(len(part), t) for c, t in (("doc_id", pa.int64()), ("occurrence", pa.int64()), ("piece", pa.int32()))}
+        yield from batch(what, own, rank, size=pa.array(part >> 32), gap=pa.array(np.ones(len(part), bool)), **blank)
 
 
-def _assign(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Runs (task of documents, first rank, task of gaps, first rank, length) that match each range's waiting documents to larger ranges' gaps.
+def _allot(counts: dict[int, tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs (task of gaps, first rank, number, task of documents): which larger ranges' gaps go to a range whose documents wait.
 
     Ranges come from the largest sizes down, so that all gaps of earlier ranges hold the documents
-    of later ones. Gaps are taken from the nearest range, and each gap once; the documents' ranks
-    settle who comes first. counts: task to (documents, gaps); one entry a range.
+    of later ones. A range takes the smallest gaps of the nearest range, as many as its documents
+    need if each gap holds a whole number of documents of mean size, then those of the next; what
+    they leave of a gap is for smaller documents, a superstep later. Each gap is given once, to the
+    range of larger documents first. counts: task to (waiting documents, their size, number of
+    gaps, their size); one entry a range.
     """
     runs, stack = [], []
     for task in sorted(counts):
-        docs, gaps = counts[task]
-        at = 0
-        while docs and stack:
-            other, first, left = stack.pop()
-            k = min(docs, left)
-            runs.append((task, at, other, first, k))
-            at, docs = at + k, docs - k
+        docs, size, gaps, room = counts[task]
+        mean = size / max(1, docs)
+        while docs > 0 and stack:
+            other, first, left, each = stack.pop()
+            holds = max(1, int(each // mean))
+            k = min(left, -(-docs // holds))
+            runs.append((other, first, k, task))
+            docs -= k * holds
             if left > k:
-                stack.append((other, first + k, left - k))
+                stack.append((other, first + k, left - k, each))
         if gaps:
-            stack.append((task, 0, gaps))
+            stack.append((task, 0, gaps, room / gaps))
     return runs
 
 
@@ -117,27 +132,37 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = CAP
     Pieces of size 0 (null and empty texts) take no room and get bin null. A full piece is a bin by
     itself. The others are packed in supersteps, until none waits:
 
-    1. If waiting documents exceed the gaps' room, or the last superstep placed nothing, the largest
-       open bins for the excess: each opens one, and its rest is a gap. Documents over half of the
-       capacity all do so at the start, as no two share a bin; their gaps are swept before any other
-       document opens one.
+    1. If waiting documents exceed the gaps' room, the largest open bins for the excess: each opens
+       one, and its rest is a gap. Where fragments hold up the rest (a superstep placed less than a
+       tenth of what waited), bins for all that wait are opened. Documents over half of the
+       capacity all open bins at the start, as no two share one; their gaps are swept before any
+       other document opens one.
     2. Documents and gaps are range-sorted by size, and each range swept (`_sweep`).
-    3. Documents whose successor gap lies in a larger range get one there by rank (`_assign`, which
-       sees two counts a range); gaps are updated.
+    3. Documents whose successor gap lies in a larger range get gaps of it, by rank (`_allot`,
+       which sees four numbers a range), and are swept against them; gaps are updated.
+
+    What one range holds is swept to the end: who finds no gap opens a bin. So a small table is
+    packed by best fit decreasing; of a larger one the last superstep is. Ranges have some
+    _RANGE_ROWS rows, more where there would be over _MOST_RANGES of them.
 
     Gaps smaller than the smallest waiting document are closed. Bins are named by the piece that
-    opens them, "doc_id:occurrence:piece". Ties go by doc_id, occurrence and piece.
+    opens them, "doc_id:occurrence:piece". Ties go by doc_id, occurrence and piece. Rows that
+    repeat a doc_id are told apart by occurrence, null ids too; other columns are ignored. An empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)
     every = checkpointed(pieces(docs, doc_id, size, capacity))
     none = F.lit(None)
+    blank = [none.cast("long").alias("doc_id"), none.cast("long").alias("occurrence"), none.cast("int").alias("piece")]
     at_once = every.select("size", F.when(F.col("size") == 0, none.cast("string")).otherwise(_name()).alias("bin"), "doc_id", "occurrence", "piece").where(f"size = 0 or 2 * size > {capacity}")
     done = [at_once.select("doc_id", "occurrence", "piece", "size", "bin")]
-    docs_left = every.where(f"size > 0 and 2 * size <= {capacity}").select("size", F.lit(False).alias("gap"), none.cast("string").alias("bin"), "doc_id", "occurrence", "piece")
-    gaps_left = at_once.where(f"size > 0 and size < {capacity}").select((F.lit(capacity) - F.col("size")).alias("size"), F.lit(True).alias("gap"), "bin", none.cast("long").alias("doc_id"), none.cast("int").alias("occurrence"), none.cast("int").alias("piece"))
+    docs_left = every.where(f"size > 0 and 2 * size <= {capacity}").select("size", F.lit(False).alias("gap"), _name().alias("bin"), "doc_id", "occurrence", "piece")
+    gaps_left = at_once.where(f"size > 0 and size < {capacity}").select((F.lit(capacity) - F.col("size")).alias("size"), F.lit(True).alias("gap"), "bin", *blank)
     items = checkpointed(docs_left.unionByName(gaps_left))
-    stuck, swept = False, None
+    order = (F.col("size").desc(), F.col("gap").desc(), F.col("doc_id").asc_nulls_first(), "occurrence", "piece", "bin")
+    out = _ITEMS + ", what string, rank long, task int"
+    before, first = None, True
     while True:
         s = items.groupBy().agg(
             F.count(F.when(~F.col("gap"), 1)).alias("docs"), F.coalesce(F.sum(F.when(~F.col("gap"), F.col("size"))), F.lit(0)).alias("need"),
@@ -145,35 +170,35 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", size=None, capacity: int = CAP
         ).first()
         if not s["docs"]:
             break
-        ranges = int(s["rows"] // _RANGE_ROWS) + 1
-        opening = max(-(-(s["need"] - s["room"]) // capacity), -(-s["need"] // capacity) if stuck else 0) if swept is not None or not s["room"] else 0
-        order = (F.col("size").desc(), F.col("gap").desc(), F.col("doc_id").asc_nulls_first(), "occurrence", "piece", "bin")
-        if opening > 0:
+        ranges = 1 + s["rows"] // max(_RANGE_ROWS, s["rows"] // _MOST_RANGES)
+        if s["rows"] <= _RANGE_ROWS:
+            swept = checkpointed(items.coalesce(1).sortWithinPartitions(*order).mapInArrow(lambda batches: _sweep(batches, capacity), out))
+            done.append(swept.where("what = 'placed'").select("doc_id", "occurrence", "piece", "size", "bin"))
+            break
+        stuck = before is not None and 10 * s["docs"] > 9 * before
+        before = s["docs"]
+        opening = 0 if first and s["room"] else -(-(s["need"] if stuck else max(0, s["need"] - s["room"])) // capacity)
+        first = False
+        if opening:
             ranked = items.where("not gap").repartitionByRange(ranges, *order[:1], *order[2:5]).sortWithinPartitions(*order[:1], *order[2:5])
             ranked = checkpointed(_numbered(ranked))
-            new = ranked.where(F.col("k") < opening).withColumn("bin", _name())
+            new = ranked.where(F.col("k") < opening)
             done.append(new.select("doc_id", "occurrence", "piece", "size", "bin"))
-            opened = new.select((F.lit(capacity) - F.col("size")).alias("size"), F.lit(True).alias("gap"), "bin", none.cast("long").alias("doc_id"), none.cast("int").alias("occurrence"), none.cast("int").alias("piece"))
+            opened = new.select((F.lit(capacity) - F.col("size")).alias("size"), F.lit(True).alias("gap"), "bin", *blank)
             items = items.where("gap").unionByName(ranked.where(F.col("k") >= opening).drop("k")).unionByName(opened)
-        items = items.where(F.col("gap") == F.lit(False) if s["least"] is None else (~F.col("gap")) | (F.col("size") >= s["least"]))
-        swept = items.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _ITEMS + ", what string, rank long, task int")
-        swept = checkpointed(swept)
-        counts = {r["task"]: (r["d"], r["g"]) for r in swept.groupBy("task").agg(F.count(F.when(F.col("what") == "doc", 1)).alias("d"), F.count(F.when(F.col("what") == "gap", 1)).alias("g")).collect()}
-        runs = spark.createDataFrame(_assign(counts), "d_task int, d_from long, g_task int, g_from long, n long")
-        runs = F.broadcast(runs)  # a few rows a range
-        d, g = swept.where("what = 'doc'"), swept.where("what = 'gap'")
-        hit_d = (d["task"] == F.col("d_task")) & (d["rank"] >= F.col("d_from")) & (d["rank"] < F.col("d_from") + F.col("n"))
-        d = d.join(runs, hit_d, "left").withColumn("at", F.col("g_from") + d["rank"] - F.col("d_from"))
-        taken = d.where("g_task is not null").select("size", "doc_id", "occurrence", "piece", F.col("g_task").alias("t"), "at")
-        gone = taken.select(F.col("t"), "at", F.col("size").alias("used"), F.struct("doc_id", "occurrence", "piece").alias("taker"))
-        g = g.join(gone, (g["task"] == F.col("t")) & (g["rank"] == F.col("at")), "left")
-        g = checkpointed(g.select("size", "gap", "bin", "used", "taker"))
+        items = items.where((~F.col("gap")) | (F.col("size") >= s["least"]))
+        swept = checkpointed(items.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, out))
         done.append(swept.where("what = 'placed'").select("doc_id", "occurrence", "piece", "size", "bin"))
-        done.append(g.where("used is not null").select("taker.doc_id", "taker.occurrence", "taker.piece", F.col("used").alias("size"), "bin"))
-        rest = g.select((F.col("size") - F.coalesce("used", F.lit(0))).alias("size"), "gap", "bin", none.cast("long").alias("doc_id"), none.cast("int").alias("occurrence"), none.cast("int").alias("piece")).where("size > 0")
-        rest = rest.unionByName(swept.where("what = 'rest'").select(*_NAMES))
-        items = checkpointed(d.where("g_task is null").select(*_NAMES).unionByName(rest))
-        stuck = not items.where("not gap").count() < s["docs"] - max(0, opening)
+        of = lambda what, x: F.coalesce(F.sum(F.when(F.col("what") == what, x)), F.lit(0))
+        totals = swept.groupBy("task").agg(of("doc", F.lit(1)).alias("d"), of("doc", F.col("size")).alias("n"), of("gap", F.lit(1)).alias("g"), of("gap", F.col("size")).alias("r")).collect()
+        runs = spark.createDataFrame(_allot({r["task"]: (r["d"], r["n"], r["g"], r["r"]) for r in totals}), "g_task int, g_from long, k long, target int")
+        hit = (F.col("task") == F.col("g_task")) & (F.col("rank") >= F.col("g_from")) & (F.col("rank") < F.col("g_from") + F.col("k"))
+        gaps = checkpointed(swept.where("what = 'gap'").join(F.broadcast(runs), hit, "left").select(*_NAMES, "target"))  # a few runs a range
+        meet = swept.where("what = 'doc'").select(*_NAMES, F.col("task").alias("target")).unionByName(gaps.where("target is not null"))
+        met = checkpointed(meet.repartition(ranges, "target").drop("target").sortWithinPartitions(*order).mapInArrow(_sweep, out))
+        done.append(met.where("what = 'placed'").select("doc_id", "occurrence", "piece", "size", "bin"))
+        rest = swept.where("what = 'rest'").select(*_NAMES).unionByName(gaps.where("target is null").select(*_NAMES))
+        items = checkpointed(met.where("what <> 'placed'").select(*_NAMES).unionByName(rest))
     placed = done[0]
     for x in done[1:]:
         placed = placed.unionByName(x)
