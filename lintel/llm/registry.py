@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": topk.OP3_SQL,
     "op4_warc_revisits": warc.OP4_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
