@@ -44,25 +44,8 @@ def collect(spark: SparkSession, config: Config, location: str) -> DataFrame:
 
 
 def with_content(files: DataFrame, config: Config) -> DataFrame:
-    """files with what is at their paths, which all executors see, and whether that is whole (lintel.sources.local.content_of); null where there is nothing."""
-    from lintel.session import ship
-
-    ship(files.sparkSession)
-    largest = config.general.max_content_scan_file_size
-
-    def run(batches):
-        import os
-
-        import pyarrow as pa
-
-        for b in batches:
-            got = []
-            for path in b.column(b.schema.get_field_index("path")).to_pylist():
-                got.append(local.content_of(path, os.path.getsize(path), largest) if os.path.isfile(path) else (None, False))
-            yield b.append_column("content", pa.array([x for x, _ in got], pa.binary())).append_column("whole", pa.array([w for _, w in got], pa.bool_()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary, whole boolean"
-    return files.mapInArrow(run, schema)
+    """files with what is at their paths (lintel.sources.local.with_content)."""
+    return local.with_content(files.repartition("path"), config.general.max_content_scan_file_size)
 
 
 def main(argv: Sequence[str] | None = None) -> int:

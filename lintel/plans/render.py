@@ -28,7 +28,7 @@ def _plain(row) -> dict:  # noqa: ANN001
 
 def as_dict(result: ScanResult) -> dict:
     """The report, in a fixed order."""
-    messages = result.messages.cache()
+    messages, log = result.messages.cache(), result.log.cache()  # skipped, warnings and errors are parts of the log
     try:
         scanned: dict[str, list] = defaultdict(list)
         for r in report.scanned(messages).orderBy("filename", "checkname").collect():
@@ -45,6 +45,7 @@ def as_dict(result: ScanResult) -> dict:
         }
     finally:
         messages.unpersist()
+        log.unpersist()
 
 
 def as_json(result: ScanResult) -> str:

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from pathlib import PurePath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -13,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lintel.model import suffix_of, with_derived
 from lintel.session import ship
 
-LISTING = "path string, name string, size bigint, is_dir boolean, content binary, whole boolean"
+LISTING = "path string, name string, size bigint, is_dir boolean"
 #: Files of more bytes are read by chunks, but for those that must be whole to be read at all.
 CHUNK_BYTES, OVERLAP_BYTES = 1 << 20, 2 << 10
 #: Of others as many are read as tell whether they are text.
@@ -23,11 +24,12 @@ MOST_BYTES = 2 << 30
 _WHOLE = (".7z", ".gz", ".tar", ".zip", ".xlsx", ".docx")
 
 
-def content_of(path: str, size: int, largest: int, chunk: int = CHUNK_BYTES) -> tuple[bytes | None, bool]:
+def content_of(path: str, largest: int, chunk: int = CHUNK_BYTES) -> tuple[bytes | None, bool]:
     """(content, whether it is whole): up to `chunk` bytes, an archive, office file or readme up to `largest`; of a larger file the beginning, of one over `largest`, or that cannot be read, nothing."""
-    if size > largest:
-        return None, False
     try:
+        size = os.path.getsize(path)
+        if size > largest:
+            return None, False
         with open(path, "rb") as f:
             whole = size <= chunk or path.lower().endswith(_WHOLE) or os.path.basename(path).lower() in ("readme.md", "readme.txt")
             return (f.read() if whole else f.read(SAMPLE_BYTES)), whole
@@ -57,8 +59,6 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
         self.recursive = options.get("recursive", "false") == "true"
-        self.content = options.get("content", "false") == "true"
-        self.largest = int(options.get("largest", 1 << 30))
         self.slice_bytes = int(options.get("slicebytes", 64 << 20))
 
     def _walk(self) -> Iterator[tuple[str, int, bool]]:
@@ -96,12 +96,39 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         for path, size, is_dir in partition.entries:
-            content, whole = content_of(path, size, self.largest) if self.content and not is_dir else (None, False)
-            yield path, PurePath(path).name, size, is_dir, content, whole
+            yield path, PurePath(path).name, size, is_dir
+
+
+def with_content(files: DataFrame, largest: int) -> DataFrame:
+    """files with `content` and whether it is `whole` (see content_of), read from their paths, which all executors see; null for folders and where nothing can be read.
+
+    The column is an expression: a plan that does not use it does not read the files.
+    """
+    ship(files.sparkSession)
+
+    @F.arrow_udf("struct<content:binary,whole:boolean>")
+    def read(path: pa.Array) -> pa.Array:
+        got = [(None, False) if p is None else content_of(p, largest) for p in path.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([c for c, _ in got], pa.binary()), pa.array([w for _, w in got], pa.bool_())], ["content", "whole"])
+
+    is_dir = F.coalesce("is_dir", F.lit(False)) if "is_dir" in files.columns else F.lit(False)
+    got = read(F.when(~is_dir, F.col("path")))
+    return files.withColumn("content", got["content"]).withColumn("whole", got["whole"])
+
+
+def measured(files: DataFrame) -> DataFrame:
+    """files with the sizes that files at their paths have; the given size where there is none."""
+    ship(files.sparkSession)
+
+    @F.arrow_udf("bigint")
+    def size(path: pa.Array) -> pa.Array:
+        return pa.array([os.path.getsize(p) if p is not None and os.path.isfile(p) else None for p in path.to_pylist()], pa.int64())
+
+    return files.withColumn("size", F.coalesce(size(F.col("path")), F.col("size")))
 
 
 class LocalFiles(DataSource):
-    """format("lintel_files"): path; recursive, content ("true"); largest: contents up to so many bytes."""
+    """format("lintel_files"): path; recursive ("true"); slicebytes: files of about so many bytes are a partition."""
 
     @classmethod
     def name(cls) -> str:
@@ -120,10 +147,11 @@ def local_files(spark: SparkSession, path: str, include_folders: bool | str = Fa
     clean, _ = validate_path(path)
     spark.dataSource.register(LocalFiles)
     recursive = str(include_folders).lower() == "true"
-    rows = spark.read.format("lintel_files").options(path=clean, recursive=str(recursive).lower(), content=str(content).lower(), largest=str(largest)).load()
+    rows = spark.read.format("lintel_files").options(path=clean, recursive=str(recursive).lower()).load()
     out = with_derived(rows.withColumn("suffix", suffix_of(F.col("name"))))
     columns = ["path", "name", "display_name", "size", "suffix", "is_archive", "archive_name"]
-    return out.select(*columns, F.monotonically_increasing_id().alias("ord"), "is_dir", *(["content", "whole"] if content else []))
+    out = out.select(*columns, F.monotonically_increasing_id().alias("ord"), "is_dir")
+    return with_content(out, largest) if content else out
 
 
 def text_chunks(files: DataFrame, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES, most: int = MOST_BYTES) -> DataFrame:
@@ -135,8 +163,6 @@ def text_chunks(files: DataFrame, chunk: int = CHUNK_BYTES, overlap: int = OVERL
     ship(files.sparkSession)
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
             for at in range(b.num_rows):
                 part = b.slice(at, 1)
@@ -153,6 +179,7 @@ def text_chunks(files: DataFrame, chunk: int = CHUNK_BYTES, overlap: int = OVERL
                     error = f"Error streaming file '{path}': {e}"
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], part.column(5), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "name", "display_name", "archive_name", "chunk", "content", "error"])
 
+    files = measured(files.select("path", "name", "display_name", "archive_name", "size"))
     last = F.when(F.col("size") > most, F.lit(0)).otherwise(F.floor((F.greatest(F.col("size"), F.lit(1)) - 1) / chunk))
     rows = files.select("path", "name", "display_name", "archive_name", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("chunk"))
     return rows.repartition(F.hash("path", "chunk")).mapInArrow(run, "path string, name string, display_name string, archive_name string, chunk bigint, content binary, error string")

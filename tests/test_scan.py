@@ -423,3 +423,9 @@ def test_a_server_that_stops_waits_for_requests_under_way():
     assert begun.wait(5) and service.stop(server, 5)
     t.join(5)
     assert answers == [b'{"ok": 1}']
+
+
+def test_plans_that_need_no_contents_read_none(spark, package):
+    files = local.local_files(spark, str(package), True, True)
+    plan = files.select("name", "size")._jdf.queryExecution().optimizedPlan().toString()
+    assert "read(" not in plan and "read(" in files.select("content")._jdf.queryExecution().optimizedPlan().toString()
