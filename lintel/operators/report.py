@@ -39,6 +39,18 @@ def by_check(messages: DataFrame) -> DataFrame:
     return grouped.select("checkname", F.transform("i", lambda x: F.struct(x.subject.alias("subject"), x.path.alias("path"), x.archive_name.alias("archive_name"), x.message.alias("message"))).alias("issues"))
 
 
+def issue_rows(messages: DataFrame) -> DataFrame:
+    """(checkname, subject, path, archive_name, message), a row a finding, sorted by check and order: what by_check gathers, for readers that take rows one by one."""
+    shown = F.when(F.col("source_kind") == "file", m.shown_name()).otherwise("repository")
+    rows = _named(messages).orderBy("test_name", "ord")
+    return rows.select(F.col("test_name").alias("checkname"), shown.alias("subject"), F.coalesce("path", F.lit("")).alias("path"), F.nullif("archive_name", F.lit("")).alias("archive_name"), F.col("content").alias("message"))
+
+
+def first_subject(messages: DataFrame) -> DataFrame:
+    """(subject): that of the first finding, which viewers begin with; no row without findings."""
+    return messages.orderBy("ord").limit(1).select(m.subject_key().alias("subject"))
+
+
 def totals(messages: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row: total_issues, files_with_issues (the package counts as one if it has any), total_files."""
     keyed = messages.agg(F.count(F.lit(1)).alias("total_issues"), F.count_distinct(m.subject_key()).alias("files_with_issues"))

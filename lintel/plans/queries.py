@@ -475,13 +475,13 @@ def byte_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_register(f"""WITH {_M}, l AS (SELECT subject, test, content, row_number() OVER (PARTITION BY subject ORDER BY ord DESC) AS k FROM mk),
-s AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN source || '.zip > ' ELSE '' END || source || '/' || {_FIRST_LINE} AS subject FROM documents UNION SELECT 'repository')
+s AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN source || '.zip > ' ELSE '' END || source || '/' || {_FIRST_LINE} AS subject FROM documents)
 SELECT s.subject, l.test AS test_name, l.content FROM s LEFT JOIN l ON s.subject = l.subject AND l.k = 1""")
 def subject_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last finding of each file, and of the package, says."""
+    """What the last finding of each file says."""
     name = F.concat_ws("/", "source", F.substring_index("text", "\n", 1))
     files = _table(spark, sf_dir, "documents").select(F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(".zip > "))).otherwise(""), name).alias("subject"))
-    return report.subject_details(_messages(spark, sf_dir), files.unionByName(spark.createDataFrame([("repository",)], "subject string")).distinct())
+    return report.subject_details(_messages(spark, sf_dir), files.distinct())
 
 
 @_register(f"WITH l AS (SELECT 'doc' || doc_id AS path, text FROM documents) {_LARGE}")
@@ -496,3 +496,14 @@ def keyword_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("SELECT 'Warning for file ''doc' || doc_id || ''': slow to read' AS message FROM documents WHERE strlen(text) > 20000")
 def large_file_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.large_file_warnings(_texts(spark, sf_dir), 20_000, "slow to read")
+
+
+@_register(f"WITH {_M} SELECT subject FROM mk ORDER BY ord LIMIT 1")
+def first_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a viewer shows first."""
+    return report.first_subject(_messages(spark, sf_dir))
+
+
+@_register(f"WITH {_M} SELECT test AS checkname, display AS subject, coalesce(path, '') AS path, archive AS archive_name, content AS message FROM mk")
+def report_issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.issue_rows(_messages(spark, sf_dir))

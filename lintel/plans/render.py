@@ -6,6 +6,7 @@ import html
 import json
 from collections import defaultdict
 from datetime import UTC, datetime
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ def _plain(row) -> dict:  # noqa: ANN001
     return {k: v for k, v in out.items() if v is not None}
 
 
+def _without(row, key: str) -> dict:  # noqa: ANN001
+    return {k: v for k, v in row.asDict().items() if k != key and v is not None}
+
+
 def as_dict(result: ScanResult) -> dict:
     """The report, in a fixed order."""
     messages, log = result.messages.cache(), result.log.cache()  # skipped, warnings and errors are parts of the log
@@ -38,7 +43,7 @@ def as_dict(result: ScanResult) -> dict:
             "scanned": [{"filename": k, "issues": v} for k, v in scanned.items()],
             "skipped": [r.asDict() for r in result.skipped.orderBy("path", "reason").collect()],
             "details_subject_focused": [_plain(r) for r in report.by_subject(messages).orderBy("subject", "archive_name").collect()],
-            "details_check_focused": [_plain(r) for r in report.by_check(messages).orderBy("checkname").collect()],
+            "details_check_focused": [{"checkname": k, "issues": [_without(r, "checkname") for r in rows]} for k, rows in groupby(report.issue_rows(messages).toLocalIterator(), key=lambda r: r["checkname"])],
             "pdf_files": [r["entry"] for r in result.pdf_files.orderBy("entry").collect()],
             "errors": [{"level": "error", "message": r["message"]} for r in result.errors.orderBy("message").collect()],
             "warnings": [{"level": "warning", "message": r["message"]} for r in result.warnings.orderBy("message").collect()],

@@ -429,3 +429,8 @@ def test_plans_that_need_no_contents_read_none(spark, package):
     files = local.local_files(spark, str(package), True, True)
     plan = files.select("name", "size")._jdf.queryExecution().optimizedPlan().toString()
     assert "read(" not in plan and "read(" in files.select("content")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_list_of_pdf_files(spark, package):
+    result = scan(local.local_files(spark, str(package), True, True), CONFIG)
+    assert render.pdf_list(result, "PDF files:").split("\n")[:2] == ["PDF files:", "doc.pdf"]
