@@ -47,9 +47,9 @@ def series(walks, tolerance):
 
 def test_pagerank(spark):
     edges = spark.createDataFrame(EDGES, "src string, dst string, weight double")
-    got = dict(rows(url_filter.personalised_pagerank(edges, spark.createDataFrame([("a",), ("e",), ("a",), (None,)], "host string"), tolerance=0.01)))
+    got = dict(rows(url_filter.personalised_pagerank(edges, spark.createDataFrame([("a",), ("e",), ("a",), (None,)], "host string"), tolerance=0.1)))
     own = [e for e in EDGES if e[0]]
-    (expected,) = series([(own, ["a", "e"])], 0.01)
+    (expected,) = series([(own, ["a", "e"])], 0.1)
     assert got.keys() == {h for h, v in expected.items() if v > 0}
     assert all(abs(v - expected[h]) < 1e-12 for h, v in got.items())
     limit = brute(own, ["a", "e"], SETTLED)
@@ -109,10 +109,10 @@ def test_a_tie_at_the_threshold_is_not_allowed(spark):
 def test_propagation(spark):
     edges = spark.createDataFrame(EDGES, "src string, dst string, weight double")
     host = lambda *h: spark.createDataFrame([(x,) for x in h], "host string")
-    got = {r["host"]: r for r in url_filter.propagate(edges, host("a", "bad"), host("bad"), tolerance=0.01).collect()}
+    got = {r["host"]: r for r in url_filter.propagate(edges, host("a", "bad"), host("bad"), tolerance=0.1).collect()}
     assert set(got) == {"a", "b", "c", "d", "e", "bad"}
-    back = brute([(d, s, w) for s, d, w in EDGES if s and s != d], ["bad"], SETTLED)
-    assert abs(got["d"]["distrust"] - back["d"]) < 0.06
+    expected = judged([(s, d, w) for s, d, w in EDGES if s], ["a", "bad"], ["bad"], got, 0.1)
+    assert all(np.allclose((r["trust"], r["distrust"], r["badness"]), expected[h][:3], atol=1e-12) and r["allowed"] == expected[h][3] for h, r in got.items())
     assert not got["bad"]["allowed"] and not got["d"]["allowed"] and got["a"]["allowed"] and got["e"]["allowed"]
     none = url_filter.propagate(edges, host("a").limit(0), host("a").limit(0))
     assert all(r["allowed"] and r["badness"] == 0 for r in none.collect())
