@@ -211,7 +211,7 @@ def near_edges(prints: DataFrame, distance: int = DISTANCE, parts: list[Part] |
         links = np.zeros(len(number), np.int64)
         for k in np.unique(part):
             rows = np.flatnonzero(part == k)
-            bucket = np.unique(np.stack([value[rows], one[rows], two[rows]]), axis=1, return_inverse=True)[1].ravel()
+            bucket = np.unique(value[rows].astype(np.int64) << 42 | one[rows].astype(np.int64) << 21 | two[rows], return_inverse=True)[1]
             cut = one[rows] != two[rows]
             for i, j in matches(parts[k], bucket, high[rows], low[rows], distance):
                 ok = ~cut[i] | (block[rows[i]] != block[rows[j]])  # within a block, pairs are its own task's
