@@ -15,8 +15,8 @@ ASKED = 100
 #: Vectors of one annulus, at least as many as keep the number of annuli under MOST_ANNULI.
 BLOCK_ROWS = 2048
 MOST_ANNULI = 1 << 16
-#: Vectors of a shelf, the neighbouring annuli that a task searches together.
-SHELF_ROWS = 1 << 17
+#: Vectors of a shelf, the neighbouring annuli that a task searches together, and their bytes.
+SHELF_ROWS, SHELF_BYTES = 1 << 17, 64 << 20
 #: Queries that are sent together, and batches of them that one copy of a shelf answers.
 QUERY_ROWS = 256
 BATCHES = 64
@@ -150,7 +150,7 @@ def nearest(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
     pivots = choose_pivots(_array(sample, dim).astype(np.float64), pivots_n)
     block_rows = max(block_rows, -(-n // MOST_ANNULI))
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shelf_rows = max(block_rows, min(shelf_rows, -(-n // max(1, parallel // 2))))
+    shelf_rows = max(block_rows, min(shelf_rows, SHELF_BYTES // (4 * dim), -(-n // max(1, parallel // 2))))
 
     def key(batches):
         for b in batches:
