@@ -12,7 +12,7 @@ MESSAGES = "test_name string, content string, source_kind string, path string, n
 #: One row a member of an archive; content is null where only the list is read.
 MEMBERS = "archive_path string, archive_name string, archive_label string, ord int, member string, size bigint, is_dir boolean, content binary, error string"
 #: One row a blob of an office document.
-BODIES = "path string, idx int, content string, error string"
+BODIES = "path string, name string, display_name string, archive_name string, idx int, content string, error string"
 #: One row a line of the log.
 LOG = "level string, message string, name string, path string, reason string"
 

@@ -58,35 +58,35 @@ def as_json(result: ScanResult) -> str:
 
 
 def as_plain(result: ScanResult, location: str) -> str:
-    """Sections by package, file and check; more than one finding of a check in a file are cut to 80 bytes."""
+    """Sections by package, file and check; more than one finding of a check in a file are cut to 80 bytes. Findings come sorted, a file's at a time."""
     total = result.files.count()
     out = ["=== Scan Results ===", f"Location: {location}", f"Files scanned: {total}", ""]
-    rows = result.messages.select("source_kind", subject_key().alias("subject"), "test_name", "content", shortened(F.col("content")).alias("short"), "ord").orderBy("ord").collect()
-    if not rows:
-        return "\n".join([*out, "✅ No issues found!", ""])
-    package = [r for r in rows if r["source_kind"] != "file"]
-    files: dict[str, dict[str, list]] = {}
-    for r in rows:
-        if r["source_kind"] == "file":
-            files.setdefault(r["subject"], {}).setdefault(r["test_name"], []).append(r)
-    number = len(files) + bool(package)
-    out += [f"❌ Found {len(rows)} issues in {number} files:", ""]
-    if package:
-        out += ["📁 Repository Issues:", *(f"  • {r['content']}" for r in package), ""]
-    for subject in sorted(files):
-        by_check = files[subject]
-        out.append(f"📄 {subject} ({sum(map(len, by_check.values()))} issues):")
-        for check in sorted(by_check):
-            got = by_check[check]
-            if len(got) == 1:
-                out.append(f"  • {got[0]['content']}")
-            else:
-                out += [f"  • {check} ({len(got)} occurrences):", *(f"    - {r['short']}" for r in got)]
-        out.append("")
-    counts: dict[str, int] = defaultdict(int)
-    for r in rows:
-        counts[r["test_name"]] += 1
-    out += ["=== Summary ===", f"Total issues: {len(rows)}", f"Files with issues: {number}/{total}", "", "Issue types:"]
+    messages = result.messages.cache()
+    try:
+        numbers = report.totals(messages).first()
+        if not numbers["total_issues"]:
+            return "\n".join([*out, "✅ No issues found!", ""])
+        counts = {r["test_name"]: r["count"] for r in messages.groupBy("test_name").count().collect()}
+        out += [f"❌ Found {numbers['total_issues']} issues in {numbers['files_with_issues']} files:", ""]
+        is_file = F.col("source_kind") == "file"
+        rows = messages.select(is_file.alias("is_file"), subject_key().alias("subject"), "test_name", "content", shortened(F.col("content")).alias("short"), "ord")
+        rows = rows.orderBy("is_file", "subject", F.when(F.col("is_file"), F.col("test_name")), "ord")
+        for (of_file, subject), own in groupby(rows.toLocalIterator(), key=lambda r: (r["is_file"], r["subject"])):
+            if not of_file:
+                out += ["📁 Repository Issues:", *(f"  • {r['content']}" for r in own), ""]
+                continue
+            found = list(own)
+            out.append(f"📄 {subject} ({len(found)} issues):")
+            for check, some in groupby(found, key=lambda r: r["test_name"]):
+                got = list(some)
+                if len(got) == 1:
+                    out.append(f"  • {got[0]['content']}")
+                else:
+                    out += [f"  • {check} ({len(got)} occurrences):", *(f"    - {r['short']}" for r in got)]
+            out.append("")
+    finally:
+        messages.unpersist()
+    out += ["=== Summary ===", f"Total issues: {numbers['total_issues']}", f"Files with issues: {numbers['files_with_issues']}/{total}", "", "Issue types:"]
     return "\n".join([*out, *(f"  • {k}: {counts[k]}" for k in sorted(counts)), ""])
 
 

@@ -87,7 +87,7 @@ def scan(files: DataFrame, config: Config, across_files: bool = True) -> ScanRes
     chunks = text_chunks(judged.where(F.col("__text") & ~whole)) if "whole" in files.columns else None
     binary = judged.where("not __text")
     office = read_office(binary)
-    blobs = office.where("error is null").join(binary.select("path", "name", "display_name", "archive_name"), "path")
+    blobs = office.where("error is null")
     supported = archive_rows.where(names.is_supported_archive(F.col("name")))
     listing = read_members(supported)
     contents = read_members(archive_rows.where(wanted(config, "IsArchiveFreeOfKeywords", F.col("name"))), arch.gate_of(config))
@@ -99,7 +99,9 @@ def scan(files: DataFrame, config: Config, across_files: bool = True) -> ScanRes
     steps += [("Running archive file list tests...", number(archive_rows, len(checks.BY_MEMBER_NAME)), [checks.name_messages(arch.listed_files(listing), config, checks.BY_MEMBER_NAME)])]
     steps += [("Running archive content tests...", number(archive_rows, len(checks.BY_MEMBER_CONTENT)), [MEMBER_CHECKS[c](contents, config) for c in checks.BY_MEMBER_CONTENT])]
     if across_files:
-        package = files.withColumn("package_id", F.lit(1)).withColumn("text", F.when(names.is_readme(F.col("name")), text.as_text(F.col("content"))))
+        readme, kept = F.coalesce(names.is_readme(F.col("name")), F.lit(False)), ["name", "ord"]
+        own = files.where(readme).select(*kept, text.as_text(F.col("content")).alias("text"))  # no other file is read for it
+        package = own.unionByName(files.where(~readme).select(*kept, F.lit(None).cast("string").alias("text"))).withColumn("package_id", F.lit(1))
         steps += [("Running repository tests...", lambda: len(checks.BY_REPOSITORY), [REPOSITORY_CHECKS[c](package, config) for c in checks.BY_REPOSITORY])]
     place = ["__kind", F.coalesce("path", F.lit("")), F.coalesce("name", F.lit("")), "test_name", "content"]
     tables = [t.withColumn("__kind", F.lit(k)) for k, (_, _, own) in enumerate(steps) for t in own]

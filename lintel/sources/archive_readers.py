@@ -203,17 +203,21 @@ def read_office(files: DataFrame) -> DataFrame:
     """lintel.model.BODIES of files with `content` whose path ends in .xlsx or .docx; a file that cannot be read gives one row with `error`."""
     ship(files.sparkSession)
 
+    names = [c.split(" ")[0] for c in BODIES.split(", ")]
+    kinds = [*[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
+
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                head = (r["path"], r["name"], r["display_name"], r["archive_name"])
                 try:
                     blobs = (xlsx_blobs if r["path"].endswith(".xlsx") else docx_blobs)(r["content"] or b"")
-                    rows = [(r["path"], k, x, None) for k, x in enumerate(blobs)]
+                    rows = [(*head, k, x, None) for k, x in enumerate(blobs)]
                 except Exception as e:  # noqa: BLE001
-                    rows = [(r["path"], -1, None, f"Error reading '{r['path']}': {e}")]
+                    rows = [(*head, -1, None, f"Error reading '{r['path']}': {e}")]
                 if rows:
-                    columns = zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["path", "idx", "content", "error"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     office = F.endswith("path", F.lit(".xlsx")) | F.endswith("path", F.lit(".docx"))
-    return files.where(office).select("path", "content").mapInArrow(run, BODIES)
+    return files.where(office).select("path", "name", "display_name", "archive_name", "content").mapInArrow(run, BODIES)
