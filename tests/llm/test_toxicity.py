@@ -1,6 +1,9 @@
+from copy import deepcopy
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lintel.llm import toxicity
 from tests.llm.helpers import DOCS, awkward, clashing, empty, rows
@@ -112,3 +115,75 @@ def test_awkward(spark, data):
     assert {r["toxic"] for r in toxicity.classify(docs, labels.limit(0)).collect()} == {False}
     assert toxicity.reject_toxic(clashing(spark), labels.limit(0)).schema.names == clashing(spark).schema.names
     assert len(rows(toxicity.reject_toxic(clashing(spark), marked.withColumn("score", marked.quality)))) == 2
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 1000])
+def test_all_labelled_rows_count(spark, monkeypatch, shard_rows):
+    """150 of 2,700 toxic texts, the last by hash, have a word of their own; thresholds come from a fourth of all 3,000."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", shard_rows, raising=False)
+    judged = []
+    best = toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "best_threshold", lambda p, t, w: judged.append((len(p), t.sum())) or best(p, t, w))
+    ids = [r[0] for r in spark.range(3000).orderBy(F.xxhash64("id")).collect()]
+    clean, toxic = ids[::10], [i for k, i in enumerate(ids) if k % 10]
+    late = toxic[-150:]
+    rng = np.random.default_rng(0)
+    own = {i: [] for i in clean} | {i: ["idiot"] * 3 for i in toxic} | {i: ["zed"] * 3 for i in late}
+    docs = spark.createDataFrame([(i, " ".join([*(f"en{x}" for x in rng.integers(0, 100, 20)), *w]), "en", "s", 0) for i, w in own.items()], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(bool(w))) for i, w in own.items()], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.classify(docs, labels).collect()}
+    assert np.mean([got[i] for i in late]) > 0.95 and np.mean([got[i] for i in toxic]) > 0.97 and np.mean([got[i] for i in clean]) < 0.05
+    assert judged[0] == (750, 675)
+
+
+def test_shards(spark, data, monkeypatch):
+    docs, labels, truth = data
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    new = pa.array([texts[i] for i, _, _ in truth[600:]])
+    one = toxicity.fit(docs, labels)
+    order = [r[0] for r in labels.orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    toxic = np.array([truth[i][2] for i in order])
+    kept = np.ones(600, bool)
+    for t in (0, 1):
+        kept[np.flatnonzero(toxic == t)[3::4]] = False
+    alone = toxicity.train([texts[i] for i, k in zip(order, kept, strict=True) if k], toxic[kept])
+    assert np.abs(toxicity.score(one, new) - toxicity.score(alone, new)).max() < 0.01
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    many = toxicity.fit(docs, labels)
+    p = toxicity.score(many, new)
+    cut = np.array([many.by_lang.get("en" if i % 3 else "fr", many.threshold) for i, _, _ in truth[600:]])
+    assert np.mean((p >= cut) == np.array([t for _, _, t in truth[600:]])) > 0.97
+    again = toxicity.fit(docs.repartition(7).orderBy(F.desc("doc_id")), labels.repartition(3))
+    assert again.threshold == many.threshold and again.by_lang == many.by_lang and (again.table == many.table).all()
+    monkeypatch.setattr(toxicity, "SHARD_FILES", 2)
+    monkeypatch.setattr(toxicity, "sized", lambda df: df.hint("merge"))
+    assert (toxicity.fit(docs, labels).table == many.table).all()
+
+
+def test_parameters_are_means_of_shards(spark, data, monkeypatch):
+    """One epoch over three shards by hand, the table in blocks."""
+    docs, labels, _ = data
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    monkeypatch.setattr(toxicity, "BLOCK", 3 * 2048)
+    seen, averaged = [], toxicity._averaged
+
+    def one_round(spark, shards, fitting, load, weights, epochs, block):
+        if epochs == [0]:
+            before = deepcopy(fitting)
+            averaged(spark, shards, fitting, load, weights, epochs, block)
+            seen.append((before, deepcopy(fitting), list(load(shards.toArrow().to_batches())), weights, block))
+
+    monkeypatch.setattr(toxicity, "_averaged", one_round)
+    toxicity.fit(docs, labels)
+    (before, after, shards, weights, block), total, n, values = seen[0], 0, 0, []
+    assert block == 2048 and len(shards) == 3 and sum(len(s.toxic) for s in shards) == 600
+    for s in shards:
+        mine, own = deepcopy(before), np.flatnonzero((np.diff(s.offsets) > 0) & ~s.held)
+        toxicity.epoch(mine, s.offsets, s.codes, s.rows, own, s.toxic, weights[s.toxic], np.random.default_rng([0, 0, s.number]))
+        here = len(own) * (mine.sums[0] != before.sums[0]).any(1, keepdims=True)
+        total, n = total + here * mine.model.table.astype(float), n + here
+        values.append((len(own), mine.dense()))
+    assert np.allclose(after.model.table, np.where(n > 0, total / np.maximum(n, 1), before.model.table), atol=1e-6)
+    assert (n == 0).any() and (n > 0).any()
+    for k in (0, 1):
+        assert np.allclose(after.dense()[k], np.average([v[k] for _, v in values], axis=0, weights=[w for w, _ in values]), atol=1e-5)
