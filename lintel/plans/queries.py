@@ -394,36 +394,60 @@ def keyword_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversation_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as a zip, tar or tar.gz archive, its turns as members."""
+    """Each conversation as a zip, tar or tar.gz archive, its turns as members.
+
+    Turns come sorted, conversation after conversation, and archives are handed on in batches of 1 MB,
+    so that a task holds a few turns, one archive and one batch, however many it packs.
+    """
 
     def pack(batches):
         import io
         import tarfile
         import zipfile
+        from itertools import groupby
 
         import pyarrow as pa
 
-        for b in batches:
-            names, data = [], []
-            for r in b.to_pylist():
-                kind, buffer = (".zip", ".tar", ".tar.gz")[r["conv_id"] % 3], io.BytesIO()
-                members = [(f"{t['role']}/{t['turn']}.txt", (t["text"] or "").encode()) for t in r["turns"]]
-                if kind == ".zip":
-                    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                        for name, content in members:
-                            z.writestr(name, content)
-                else:
-                    with tarfile.open(fileobj=buffer, mode="w:gz" if kind == ".tar.gz" else "w:") as t:
-                        for name, content in members:
-                            i = tarfile.TarInfo(name)
-                            i.size = len(content)
-                            t.addfile(i, io.BytesIO(content))
-                names.append(f"conv{r['conv_id']}{kind}")
-                data.append(buffer.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())] * 3 + [pa.array(data, pa.binary())], names=["path", "name", "display_name", "content"])
-
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns")).mapInArrow(pack, "path string, name string, display_name string, content binary")
+        def turns():
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    yield from zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True)
+
+        def packed(kind, members):
+            buffer = io.BytesIO()
+            if kind == ".zip":
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    for name, content in members:
+                        z.writestr(name, content)
+            else:
+                with tarfile.open(fileobj=buffer, mode="w:gz" if kind == ".tar.gz" else "w:") as t:
+                    for name, content in members:
+                        i = tarfile.TarInfo(name)
+                        i.size = len(content)
+                        t.addfile(i, io.BytesIO(content))
+                        t.members.clear()  # else it keeps them all
+            return buffer.getvalue()
+
+        def handed(rows):
+            paths, names, data = zip(*rows, strict=True)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(names, pa.string()), pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["path", "name", "display_name", "content"])
+
+        rows, held = [], 0
+        for key, own in groupby(turns(), lambda t: t[0]):
+            kind = ".tar.gz" if key is None or key % 3 and key < 0 else (".zip", ".tar", ".tar.gz")[key % 3]  # SQL's remainders have the sign of what is divided
+            path = None if key is None else f"conv{key}{kind}"
+            rows.append((path, path or kind, packed(kind, ((f"{role}/{turn}.txt", (text or "").encode()) for _, turn, role, text in own))))
+            held += len(rows[-1][-1])
+            if held >= 1 << 20:
+                yield handed(rows)
+                held = 0
+        if rows:
+            yield handed(rows)
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", *[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")])
+    return ordered.mapInArrow(pack, "path string, name string, display_name string, content binary")
 
 
 _ARCHIVES = """a AS (SELECT *, 'conv' || conv_id || CASE conv_id % 3 WHEN 0 THEN '.zip' WHEN 1 THEN '.tar' ELSE '.tar.gz' END AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS ord, strlen(text) AS size FROM conversations)"""
@@ -445,7 +469,7 @@ UNION ALL SELECT s.path, s.k, s.ord, {_TWICE}, b.u + CASE WHEN {_TWICE} THEN s.s
 SELECT a.path, a.role || '/' || a.turn || '.txt' AS member, a.text AS content FROM a JOIN b ON a.path = b.path AND a.ord = b.ord WHERE b.ok""")
 def archive_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of the members of up to 300 bytes that a budget of 700 bytes an archive admits, decided while unpacking."""
-    rows = read_members(_conversation_archives(spark, sf_dir), Gate(largest=300, budget=700)).where("content is not null")
+    rows = read_members(_conversation_archives(spark, sf_dir), Gate(largest=300, budget=700)).where("content is not null and archive_path is not null")
     return rows.select(F.col("archive_path").alias("path"), "member", F.col("content").cast("string").alias("content"))
 
 
